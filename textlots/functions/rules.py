@@ -51,7 +51,8 @@ def rule_attr(position: Column, pack: Pack, key: str) -> Column:
         values = [rule.type for rule in pack.rules]
     else:
         values = [rule.attrs[key] for rule in pack.rules]
-    return F.coalesce(F.element_at(words(values), position), F.lit(pack.fallback[key]))
+    # get(), not element_at(): the latter takes a null position for the last element.
+    return F.coalesce(F.get(words(values), position - 1), F.lit(pack.fallback[key]))
 
 
 def severity(lowered: Column, critical: Iterable[str], low: Iterable[str]) -> Column:
