@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textlots.functions.keywords import any_of
 from textlots.functions.rules import any_hit, bind
 from textlots.functions.text import clean
 from textlots.packs.dictionary import PHRASES, WORDS
@@ -17,8 +18,10 @@ from textlots.packs.dictionary import PHRASES, WORDS
 LETTERS = "A-Za-zÁÉÍÓÚÜÑáéíóúüñ"
 ACCENTED, PLAIN = "áéíóúüñ", "aeiouun"
 
-# Letters outside a-z that a case-blind match takes for s, i or k.
-FOLDING = r"[\u017f\u0131\u0130\u212a]"
+# Characters that leave the quick way: letters that a case-blind match takes for s, i or k,
+# and the mark that the quick way puts around words.
+MARK = "\x01"
+UNUSUAL = ("\u017f", "\u0131", "\u0130", "\u212a", MARK)
 
 Pairs = Sequence[tuple[str, str]]
 
@@ -28,21 +31,77 @@ def by_length(phrases: Pairs) -> list[tuple[str, str]]:
     return sorted(phrases, key=lambda pair: -len(pair[0]))
 
 
+def _in_turn(text: Column, phrases: Pairs) -> Column:
+    """Every phrase in turn, present or not."""
+    for spanish, english in phrases:
+        # A quoted literal and a case-blind match; "$" and "\\" cannot occur in the wording.
+        text = F.regexp_replace(text, f"(?iu){re.escape(spanish)}", english)
+    return text
+
+
+def _present_only(text: Column, phrases: Pairs) -> Column:
+    """The same result by applying only phrases that occur.
+
+    After each replacement the text is searched again, since a new wording may complete a
+    later phrase; the steps left over once nothing is found cost nothing.
+    """
+    anywhere = f"(?=({any_of(spanish for spanish, _ in phrases)}))"
+    table = F.array(
+        *[
+            F.struct(
+                F.lit(spanish).alias("spanish"),
+                F.lit(f"(?iu){re.escape(spanish)}").alias("pattern"),
+                F.lit(english).alias("english"),
+            )
+            for spanish, english in phrases
+        ]
+    )
+
+    def state(value: Column, following: Column, going: Column) -> Column:
+        return F.struct(value.alias("text"), following.alias("following"), going.alias("going"))
+
+    def next_phrase(current: Column) -> Column:
+        """Position of the first phrase from ``following`` on that occurs."""
+        found = F.array_distinct(F.regexp_extract_all(F.lower(current["text"]), F.lit(anywhere), F.lit(1)))
+
+        def position(longest: Column) -> Column:
+            # The longest phrase at a place stands for the shorter ones it begins with.
+            open_steps = F.sequence(current["following"], F.lit(len(phrases)))
+            hits = F.filter(
+                open_steps,
+                lambda i: F.exists(longest, lambda f: F.startswith(f, F.get(table, i - 1)["spanish"])),
+            )
+            return F.when((F.size(longest) > 0) & (current["following"] <= len(phrases)), F.array_min(hits))
+
+        return bind(found, position)
+
+    def step(current: Column, _: Column) -> Column:
+        def apply(i: Column) -> Column:
+            entry = F.get(table, i - 1)
+            replaced = F.regexp_replace(current["text"], entry["pattern"], entry["english"])
+            return F.when(
+                i.isNull(), state(current["text"], current["following"], F.lit(False))
+            ).otherwise(state(replaced, i + 1, F.lit(True)))
+
+        return F.when(~current["going"], current).otherwise(bind(next_phrase(current), apply))
+
+    steps = F.sequence(F.lit(1), F.lit(len(phrases) + 1))
+    start = state(text, F.lit(1), F.lit(True))
+    return F.aggregate(steps, start, step, lambda done: done["text"])
+
+
+def unusual(text: Column) -> Column:
+    return any_hit(text, UNUSUAL)
+
+
 def replace_phrases(text: Column, phrases: Pairs = PHRASES) -> Column:
     """Replace every phrase, in any case, each on the result of the one before."""
-    result = text
-    for spanish, english in by_length(phrases):
-        # A quoted literal and a case-blind match; "$" and "\" cannot occur in the wording.
-        result = F.regexp_replace(result, f"(?iu){re.escape(spanish)}", english)
-    # No phrase in the text means nothing to do, and a plain search is far cheaper than the
-    # regexes. Letters whose case folds outside a-z are left to the regexes.
-    present = bind(F.lower(text), lambda lowered: any_hit(lowered, [spanish for spanish, _ in phrases]))
-    return F.when(present | text.rlike(FOLDING), result).otherwise(text)
+    ordered = by_length(phrases)
+    return F.when(unusual(text), _in_turn(text, ordered)).otherwise(_present_only(text, ordered))
 
 
-def replace_words(text: Column, words: Pairs = WORDS) -> Column:
-    """Replace known words; ALL CAPS and Capitalised words keep their form."""
-    runs = F.regexp_extract_all(text, F.lit(f"[{LETTERS}]+|[^{LETTERS}]+"), F.lit(0))
+def _swap(words: Pairs) -> Callable[[Column], Column]:
+    """What becomes of one word (or of any other run of characters)."""
     # One small map per word length, so a lookup compares a handful of keys, not all.
     by_size: dict[int, list[tuple[str, str]]] = defaultdict(list)
     for spanish, english in words:
@@ -58,10 +117,8 @@ def replace_words(text: Column, words: Pairs = WORDS) -> Column:
     def swap(run: Column) -> Column:
         table = F.get(tables, F.length(run) - 1)
         key = F.lower(run)
-        accented = F.octet_length(run) != F.length(run)
         found = F.coalesce(
-            F.element_at(table, key),
-            F.when(accented, F.element_at(table, F.translate(key, ACCENTED, PLAIN))),
+            F.element_at(table, key), F.element_at(table, F.translate(key, ACCENTED, PLAIN))
         )
         initial = F.substring(run, 1, 1)
         capital = F.concat(F.upper(F.substring(found, 1, 1)), F.substring(found, 2, 99))
@@ -72,9 +129,40 @@ def replace_words(text: Column, words: Pairs = WORDS) -> Column:
             .otherwise(found)
         )
 
+    return swap
+
+
+def _letter(ch: str) -> str:
+    """A plain letter in both cases, with and without its accents."""
+    marked = "".join(a for a, p in zip(ACCENTED, PLAIN) if p == ch)
+    return "".join(dict.fromkeys(f"{ch}{marked}{(ch + marked).upper()}"))
+
+
+def _every_run(text: Column, swap: Callable[[Column], Column]) -> Column:
+    runs = F.regexp_extract_all(text, F.lit(f"[{LETTERS}]+|[^{LETTERS}]+"), F.lit(0))
     return F.array_join(F.transform(runs, swap), "")
 
 
+def _known_only(text: Column, words: Pairs, swap: Callable[[Column], Column]) -> Column:
+    """The same result by looking up only words that the dictionary may know.
+
+    One pattern finds them, whatever their case and accents, and marks their ends.
+    """
+    table = str.maketrans(ACCENTED, PLAIN)
+    plain = dict.fromkeys(spanish.translate(table) for spanish, _ in words)
+    known = f"(?<![{LETTERS}]){any_of(plain, _letter)}(?![{LETTERS}])"
+    pieces = F.split(F.regexp_replace(text, known, f"{MARK}$0{MARK}"), MARK)
+    # Every odd place lies between two marks and is a word.
+    swapped = F.transform(pieces, lambda piece, i: F.when(i % 2 == 1, swap(piece)).otherwise(piece))
+    return F.array_join(swapped, "")
+
+
+def replace_words(text: Column, words: Pairs = WORDS) -> Column:
+    """Replace known words; ALL CAPS and Capitalised words keep their form."""
+    swap = _swap(words)
+    return F.when(unusual(text), _every_run(text, swap)).otherwise(_known_only(text, words, swap))
+
+
 def dict_rewrite(text: Column, phrases: Pairs = PHRASES, words: Pairs = WORDS) -> Column:
     """Phrases, then words, then white space."""
-    return clean(replace_words(replace_phrases(text, phrases), words))
+    return clean(bind(replace_phrases(text, phrases), lambda phrased: replace_words(phrased, words)))

@@ -24,7 +24,7 @@ def words(values: Iterable[str]) -> Column:
 
 
 def any_hit(lowered: Column, keywords: Iterable[str]) -> Column:
-    return F.exists(words(k.lower() for k in keywords), lambda word: F.contains(lowered, word))
+    return F.exists(words(keywords), lambda word: F.contains(lowered, word))
 
 
 def scores(lowered: Column, pack: Pack) -> Column:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What counts as white space: every character str.isspace() accepts.
-_SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WS = f"[{_SPACES}]"
-NOT_WS = f"[^{_SPACES}]"
+# What counts as white space: every character str.isspace() accepts. With (?U), \s is
+# Unicode's white space; the four separator controls are missing from it.
+UNICODE = "(?U)"
+WS = r"[\s\x1c-\x1f]"
+NOT_WS = r"[^\s\x1c-\x1f]"
 
 # Function words that keep a word list from looking like a header.
 STOPWORDS = (
@@ -32,16 +33,18 @@ PIECE = r"\p{L}+|\p{N}{1,3}|[^\s\p{L}\p{N}]+"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    ends = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
+    stripped = F.regexp_replace(c, f"{UNICODE}^{WS}+|{WS}+$", "")
+    return F.when(ends.rlike(f"{UNICODE}{WS}"), stripped).otherwise(c)
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"{WS}+$", "")
+    return F.regexp_replace(c, f"{UNICODE}{WS}+$", "")
 
 
 def clean(c: Column) -> Column:
     """Collapse runs of white space to one space and strip the ends."""
-    return F.trim(F.regexp_replace(c.cast("string"), f"{WS}+", " "))
+    return F.trim(F.regexp_replace(c.cast("string"), f"{UNICODE}{WS}+", " "))
 
 
 def normalize(c: Column) -> Column:
@@ -63,9 +66,9 @@ def header_like(c: Column) -> Column:
     words = "|".join(STOPWORDS)
     return (
         ~c.rlike("[,.;:!?]")
-        & c.rlike(f"{NOT_WS}{WS}+{NOT_WS}")
-        & ~c.rlike(f"{NOT_WS}{{13}}")
-        & ~F.lower(c).rlike(f"(?:^|{WS})(?:{words})(?:{WS}|$)")
+        & c.rlike(f"{UNICODE}{NOT_WS}{WS}+{NOT_WS}")
+        & ~c.rlike(f"{UNICODE}{NOT_WS}{{13}}")
+        & ~F.lower(c).rlike(f"{UNICODE}(?:^|{WS})(?:{words})(?:{WS}|$)")
     )
 
 

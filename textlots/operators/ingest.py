@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textlots.functions.rules import bind
 from textlots.functions.text import clean, junk_reason
 from textlots.operators.joins import narrow_join, settled
 from textlots.packs.prices import MAX_ROWS
@@ -31,8 +32,19 @@ def with_junk_reason(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, clean(F.col(text))).withColumn("junk_reason", junk_reason(F.col(text)))
 
 
+def usable(cell: Column) -> Column:
+    return junk_reason(cell).isNull()
+
+
 def drop_junk(df: DataFrame, text: str = "text") -> DataFrame:
-    return with_junk_reason(df, text).where(F.col("junk_reason").isNull()).drop("junk_reason")
+    """Cleaned texts that are usable.
+
+    A filter on the cleaned text would be pushed below the cleaning and repeat it once per
+    test; an array of no or one text keeps it to a single pass.
+    """
+    kept = [name for name in df.columns if name != text]
+    good = F.filter(F.array(clean(F.col(text))), usable)
+    return df.select(*kept, F.explode(good).alias(text)).select(*df.columns)
 
 
 def header_score(name: str) -> int:
@@ -56,10 +68,10 @@ def column_scores(
     One pass and one aggregate over all columns: nothing is unpivoted per cell.
     """
     names = list(columns) if columns is not None else text_columns(df, by)
-    lengths = []
-    for i, name in enumerate(names):
-        cell = clean(F.col(name))
-        lengths.append(F.when(junk_reason(cell).isNull(), F.length(cell)).alias(f"_len{i}"))
+    lengths = [
+        bind(clean(F.col(name)), lambda cell: F.when(usable(cell), F.length(cell))).alias(f"_len{i}")
+        for i, name in enumerate(names)
+    ]
     sums = [F.sum(f"_len{i}").alias(f"_sum{i}") for i in range(len(names))]
     counts = [F.count(f"_len{i}").alias(f"_n{i}") for i in range(len(names))]
     grouped = df.select(*by, *lengths).groupBy(*by).agg(*sums, *counts)

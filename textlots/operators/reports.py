@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlots.functions.rules import first_module, severity
-from textlots.functions.text import NOT_WS, strip, summary, summary_compact
+from textlots.functions.text import NOT_WS, UNICODE, strip, summary, summary_compact
 from textlots.packs import playbook as book
 from textlots.packs import triage as lists
 
@@ -20,7 +20,7 @@ MIN_MESSAGE, MAX_MESSAGE = 10, 4_000
 MAX_EMAIL, MAX_PAGE, MAX_AGENT = 254, 200, 300
 
 _NO_AT = NOT_WS[:-1] + "@]"
-EMAIL = rf"^{_NO_AT}+@{_NO_AT}+\.{_NO_AT}+$"
+EMAIL = rf"{UNICODE}^{_NO_AT}+@{_NO_AT}+\.{_NO_AT}+$"
 
 
 def filled(c: Column) -> Column:

@@ -36,7 +36,7 @@ def _totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return files.spread(spark.read.parquet(f"{d}/documents.parquet"))
 
 
 # A. sources and sinks
@@ -256,7 +256,7 @@ def triage_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_escape(spark: SparkSession, d: str) -> DataFrame:
-    pages = spark.read.parquet(f"{d}/pages.parquet")
+    pages = files.spread(spark.read.parquet(f"{d}/pages.parquet"))
     return pages.select("page_id", tx.html_escape(F.col("html")).alias("html_escaped"))
 
 

@@ -56,6 +56,15 @@ def admit_files(
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out the rows of a few files that cannot be split, so that all cores get some.
+
+    Input that already has a partition per core, as any large lot has, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _read(spark: SparkSession, paths: Sequence[str], fmt: str, header: bool) -> DataFrame:
     if fmt not in FORMATS:
         raise ValueError(f"format {fmt!r} is not one of {', '.join(FORMATS)}")
