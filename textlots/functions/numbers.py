@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textlots.functions.bind import bind
+
 
 def round_even(x: Column, digits: int) -> Column:
     """Round the exact binary value of a double, ties to the even digit.
@@ -14,13 +16,22 @@ def round_even(x: Column, digits: int) -> Column:
     both products with 10**digits exact, so the tie is seen exactly.
     """
     scale = F.lit(float(10**digits))
-    big = x * F.lit(134217729.0)
-    high = big - (big - x)
-    a, b = high * scale, (x - high) * scale
-    whole = F.floor(a + b).cast("double")
-    rest = (a - whole) + b
-    up = (rest > 0.5) | ((rest == 0.5) & (F.pmod(whole, F.lit(2.0)) == 1.0))
-    return (whole + F.when(up, 1.0).otherwise(0.0)) / scale
+
+    def halves(v: Column) -> Column:
+        big = v * F.lit(134217729.0)
+        high = big - (big - v)
+        return F.struct((high * scale).alias("a"), ((v - high) * scale).alias("b"))
+
+    def parts(p: Column) -> Column:
+        whole = F.floor(p["a"] + p["b"]).cast("double")
+        return F.struct(whole.alias("whole"), ((p["a"] - whole) + p["b"]).alias("rest"))
+
+    def result(r: Column) -> Column:
+        odd = F.pmod(r["whole"], F.lit(2.0)) == 1.0
+        up = (r["rest"] > 0.5) | ((r["rest"] == 0.5) & odd)
+        return (r["whole"] + F.when(up, 1.0).otherwise(0.0)) / scale
+
+    return bind(bind(bind(x, halves), parts), result)
 
 
 def cost_usd(tokens: Column, price_per_million: Column) -> Column:

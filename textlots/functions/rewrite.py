@@ -9,8 +9,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textlots.functions.bind import bind
 from textlots.functions.keywords import any_of
-from textlots.functions.rules import any_hit, bind
+from textlots.functions.rules import any_hit
 from textlots.functions.text import clean
 from textlots.packs.dictionary import PHRASES, WORDS
 

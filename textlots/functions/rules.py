@@ -6,19 +6,15 @@ Keyword lists are array literals walked by higher-order functions: hundreds of s
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textlots.functions.bind import bind
 from textlots.packs.model import Pack
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Compute ``value`` once and use it many times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(value) for value in values])
 

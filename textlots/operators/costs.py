@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlots.functions.numbers import at_least_one, cost_usd, round_even, share_pct, truncate
-from textlots.operators.classify import rule_attr
+from textlots.functions.rules import rule_attr
+from textlots.operators.joins import settled
 from textlots.packs import Pack
 from textlots.packs.prices import (
     DAILY_VOLUME,
@@ -310,12 +311,19 @@ def strategy_compare(
 ) -> DataFrame:
     """Dictionary (extrapolated from a sample), rewrite and dedup side by side.
 
-    The sample ratio meets a histogram of token counts, not the rows themselves.
+    The sample ratio meets a histogram of token counts, not the rows themselves. The token
+    counts are used twice, so they are settled first: a few numbers per distinct text.
     """
+    canon = settled(
+        canon.select(
+            *by, "canon_source", "canon_row_no", "n_rows", "tokens_original", "tokens_optimized",
+            F.col(dictionary).alias("_dictionary"),
+        )
+    )
     in_order = Window.partitionBy(*by).orderBy("canon_source", "canon_row_no")
     first = canon.withColumn("_rn", F.row_number().over(in_order)).where(F.col("_rn") <= sample)
     ratio = first.groupBy(*by).agg(
-        (F.sum(dictionary).cast("double") / F.nullif(F.sum("tokens_original"), F.lit(0))).alias("_ratio")
+        (F.sum("_dictionary").cast("double") / F.nullif(F.sum("tokens_original"), F.lit(0))).alias("_ratio")
     )
     histogram = canon.groupBy(*by, "tokens_original").agg(
         F.count("*").alias("_texts"),

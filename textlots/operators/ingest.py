@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlots.functions.rules import bind
+from textlots.functions.bind import bind
 from textlots.functions.text import clean, junk_reason
 from textlots.operators.joins import narrow_join, settled
 from textlots.packs.prices import MAX_ROWS

@@ -35,22 +35,24 @@ def lookup_join(
     last key column that differs per row and never occurs in the lookup.
     """
     *outer, last = keys
+    # Both parts carry the same columns, so that they share one shuffle of the lookup.
+    found = F.struct(*payload, F.col(weight).alias("_weight"))
     hot = (
         lookup.where(F.col(weight) >= hot_rows)
         .orderBy(F.desc(weight), *keys)
         .limit(hot_keys)
-        .select(*keys, F.struct(*payload).alias("_hot"))
+        .select(*keys, found.alias("_hot"))
     )
-    tail = lookup.select(*outer, F.col(last).alias("_key"), F.struct(*payload).alias("_tail"))
+    tail = lookup.select(*outer, F.col(last).alias("_key"), found.alias("_tail"))
     joined = (
         rows.join(F.broadcast(hot), list(keys), "left")
         .withColumn("_key", F.when(F.col("_hot").isNull(), F.col(last)).otherwise(spread))
         .join(tail, [*outer, "_key"], "left")
     )
-    found = F.coalesce("_hot", "_tail")
+    either = F.coalesce("_hot", "_tail")
     return joined.select(
         *[F.col(name) for name in rows.columns],
-        *[found[name].alias(name) for name in payload],
+        *[either[name].alias(name) for name in payload],
     )
 
 

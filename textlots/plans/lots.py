@@ -158,20 +158,21 @@ def result_table(rows: DataFrame, pack: Pack) -> DataFrame:
 def preview(texts: DataFrame, pack: Pack, n: int = PREVIEW_ROWS, optimize: bool = True) -> DataFrame:
     """First ``n`` result rows of each lot, with the size of the lot beside them.
 
-    The rows are chosen first, and only texts with their keys are then measured.
+    The rows are chosen first, ``n`` per lot, and only texts with their keys are measured.
     """
     in_order = Window.partitionBy(*BATCH).orderBy(*ORDER)
     sizes = texts.groupBy(*BATCH).agg(F.count("*").alias("results_total"))
+    short = texts.withColumn("text", F.substring("text", 1, PREVIEW_CHARS))
     chosen = settled(
-        texts.select(*BATCH, *ORDER, "key")
-        .withColumn("position", F.row_number().over(in_order))
+        short.withColumn("position", F.row_number().over(in_order))
         .where(F.col("position") <= n)
         .join(sizes, list(BATCH))
     )
-    wanted = narrow_join(texts, chosen.select(*BATCH, "key").distinct(), [*BATCH, "key"], "left_semi")
-    shown = narrow_join(wanted, chosen.select(*BATCH, *ORDER), [*BATCH, *ORDER], "left_semi")
+    keys = settled(chosen.select(*BATCH, "key").distinct())
+    wanted = narrow_join(texts, keys, [*BATCH, "key"], "left_semi")
+    shown = chosen.select(*texts.columns)
     rows = result_rows(shown, analyze(wanted, pack, optimize, with_text=True), pack, optimize)
-    return rows.join(chosen.drop("key"), [*BATCH, *ORDER])
+    return rows.join(chosen.select(*BATCH, *ORDER, "position", "results_total"), [*BATCH, *ORDER])
 
 
 def lot_summary(core: DataFrame, by: Sequence[str] = BATCH) -> DataFrame:
