@@ -60,6 +60,11 @@ def text_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
     ]
 
 
+def header(name: str) -> Column:
+    """The column under a header that may hold dots or backquotes."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def column_scores(
     df: DataFrame, by: Sequence[str] = ("source",), columns: Sequence[str] | None = None
 ) -> DataFrame:
@@ -69,7 +74,7 @@ def column_scores(
     """
     names = list(columns) if columns is not None else text_columns(df, by)
     lengths = [
-        bind(clean(F.col(name)), lambda cell: F.when(usable(cell), F.length(cell))).alias(f"_len{i}")
+        bind(clean(header(name)), lambda cell: F.when(usable(cell), F.length(cell))).alias(f"_len{i}")
         for i, name in enumerate(names)
     ]
     sums = [F.sum(f"_len{i}").alias(f"_sum{i}") for i in range(len(names))]
@@ -112,7 +117,7 @@ def pick_text(
     best = settled(detected.select(*by, "column_detected").where(F.col("column_detected").isNotNull()))
     rows = narrow_join(df, best, by)
     chosen = F.coalesce(
-        *[F.when(F.col("column_detected") == name, F.col(name)) for name in text_columns(df, by)]
+        *[F.when(F.col("column_detected") == name, header(name)) for name in text_columns(df, by)]
     )
     return drop_junk(rows.select(*by, *keep, chosen.alias("text")))
 

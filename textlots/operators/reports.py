@@ -113,10 +113,18 @@ def parse_triage(df: DataFrame, col: str = "response") -> DataFrame:
     """
     raw = F.coalesce(F.col(col), F.lit(""))
     parsed = df.withColumn("_json", F.try_parse_json(raw))
-    valid = F.col("_json").isNotNull() & (F.schema_of_variant("_json") != "VOID")
+    # The parser stops after the first value; a value with anything behind it does not
+    # survive being put inside both an array and an object.
+    whole = [F.concat(F.lit(left), raw, F.lit(right)) for left, right in (("[", "]"), ('{"v":', "}"))]
+    valid = (
+        F.col("_json").isNotNull()
+        & (F.schema_of_variant("_json") != "VOID")
+        & F.try_parse_json(whole[0]).isNotNull()
+        & F.try_parse_json(whole[1]).isNotNull()
+    )
 
     def field(name: str) -> Column:
-        return filled(F.try_variant_get("_json", f"$.{name}", "string"))
+        return F.when(valid, filled(F.try_variant_get("_json", f"$.{name}", "string")))
 
     message = F.coalesce("mensaje", F.lit(""))
     original = F.when(valid, field("texto_original")).otherwise(filled(message))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlots.operators.ingest import detect_text_column, pick_text
+from textlots.operators.ingest import header as header_column
 from textlots.operators.joins import settled
 
 FORMATS = ("csv", "json", "parquet", "orc", "text")
@@ -35,24 +36,29 @@ def admit_files(
     path: str | Sequence[str],
     extensions: Sequence[str],
     max_bytes: int = MAX_BYTES,
+    expected: Sequence[str] = (),
 ) -> DataFrame:
     """Status of every file: name, size and why it is refused (null: admitted).
 
-    Only the listing is read; the ``content`` column is pruned.
+    Only the listing is read; the ``content`` column is pruned. Spark's listing leaves out
+    files without content, so names that should be there are given as ``expected``.
     """
     allowed = [F.lit(e.lower()) for e in extensions]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    listed = files.select("path", name.alias("source"), F.col("length").alias("size_bytes"))
+    listed = files.select(name.alias("source"), F.col("length").alias("size_bytes"))
+    if expected:
+        names = spark.createDataFrame([(n,) for n in expected], "source string")
+        absent = names.join(listed, "source", "left_anti")
+        listed = listed.unionByName(absent.withColumn("size_bytes", F.lit(0).cast("bigint")))
     extension = F.lower(F.concat(F.lit("."), F.substring_index("source", ".", -1)))
+    known = F.contains("source", F.lit(".")) & extension.isin(*allowed)
+    limit = f" exceeds the maximum size ({max_bytes // (1024 * 1024)} MB)"
     return listed.withColumn(
         "error",
-        F.when(~F.contains("source", F.lit(".")) | ~extension.isin(*allowed), F.concat(F.lit("type not allowed: "), "source"))
-        .when(F.col("size_bytes") <= 0, F.concat(F.lit("empty file: "), "source"))
-        .when(
-            F.col("size_bytes") > max_bytes,
-            F.concat("source", F.lit(f" exceeds the maximum size ({max_bytes // (1024 * 1024)} MB)")),
-        ),
+        F.when(~known, F.concat(F.lit("type not allowed: "), "source"))
+        .when(F.col("size_bytes") <= 0, F.concat(F.lit("empty or missing file: "), "source"))
+        .when(F.col("size_bytes") > max_bytes, F.concat("source", F.lit(limit))),
     )
 
 
@@ -88,9 +94,9 @@ def read_cells(
             continue
         name = f.name if header and f.name.strip() and not f.name.startswith("_c") else f"col_{i}"
         if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            cell = F.to_json(F.col(f"`{f.name}`"))
+            cell = F.to_json(header_column(f.name))
         else:
-            cell = F.col(f"`{f.name}`").cast("string")
+            cell = header_column(f.name).cast("string")
         cells.append(cell.alias(name))
     return raw.select(
         F.lit(batch_id).alias("batch_id"), file_name().alias("source"), file_order().alias("row_no"), *cells
