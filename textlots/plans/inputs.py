@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlots.sources.files import spread
+from textlots.sources.files import file_name, spread
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 UPPER = LOWER.upper()
@@ -205,10 +205,13 @@ WIDE = (
 
 
 def wide_files(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """The tables above, each as one file of string cells."""
+    """The tables above, each as one file of string cells, named after the file."""
+    name_only = F.regexp_replace(file_name(), r"\.parquet$", "").alias("source")
     return [
-        _table(spark, sf_dir, name).select(
-            F.lit(name).alias("source"), *[F.col(c).cast("string").alias(h) for c, h in columns.items()]
+        spread(
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").select(
+                name_only, *[F.col(c).cast("string").alias(h) for c, h in columns.items()]
+            )
         )
         for name, columns in WIDE
     ]
