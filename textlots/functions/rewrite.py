@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textlots.functions.bind import bind
+from textlots.functions.bind import bind, table, words
 from textlots.functions.keywords import any_of
 from textlots.functions.rules import any_hit
 from textlots.functions.text import clean
@@ -32,12 +31,23 @@ def by_length(phrases: Pairs) -> list[tuple[str, str]]:
     return sorted(phrases, key=lambda pair: -len(pair[0]))
 
 
+def _steps(phrases: Pairs) -> tuple[Column, Callable[[Column, Column], Column]]:
+    """The Spanish phrases, and the replacement of the i-th in a text, counted from 1."""
+    spanish = words(phrase for phrase, _ in phrases)
+    english = words(wording for _, wording in phrases)
+
+    def apply(text: Column, i: Column) -> Column:
+        # A quoted literal and a case-blind match; "$" and "\\" cannot occur in the wording.
+        pattern = F.concat(F.lit(r"(?iu)\Q"), F.get(spanish, i - 1), F.lit(r"\E"))
+        return F.regexp_replace(text, pattern, F.get(english, i - 1))
+
+    return spanish, apply
+
+
 def _in_turn(text: Column, phrases: Pairs) -> Column:
     """Every phrase in turn, present or not."""
-    for spanish, english in phrases:
-        # A quoted literal and a case-blind match; "$" and "\\" cannot occur in the wording.
-        text = F.regexp_replace(text, f"(?iu){re.escape(spanish)}", english)
-    return text
+    _, apply = _steps(phrases)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(phrases))), text, apply)
 
 
 def _present_only(text: Column, phrases: Pairs) -> Column:
@@ -46,40 +56,33 @@ def _present_only(text: Column, phrases: Pairs) -> Column:
     After each replacement the text is searched again, since a new wording may complete a
     later phrase; the steps left over once nothing is found cost nothing.
     """
-    anywhere = f"(?=({any_of(spanish for spanish, _ in phrases)}))"
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(spanish).alias("spanish"),
-                F.lit(f"(?iu){re.escape(spanish)}").alias("pattern"),
-                F.lit(english).alias("english"),
-            )
-            for spanish, english in phrases
-        ]
-    )
+    anywhere = any_of(phrase for phrase, _ in phrases)
+    spanish, replace = _steps(phrases)
 
     def state(value: Column, following: Column, going: Column) -> Column:
         return F.struct(value.alias("text"), following.alias("following"), going.alias("going"))
 
     def next_phrase(current: Column) -> Column:
         """Position of the first phrase from ``following`` on that occurs."""
-        found = F.array_distinct(F.regexp_extract_all(F.lower(current["text"]), F.lit(anywhere), F.lit(1)))
 
         def position(longest: Column) -> Column:
             # The longest phrase at a place stands for the shorter ones it begins with.
-            open_steps = F.sequence(current["following"], F.lit(len(phrases)))
             hits = F.filter(
-                open_steps,
-                lambda i: F.exists(longest, lambda f: F.startswith(f, F.get(table, i - 1)["spanish"])),
+                F.sequence(current["following"], F.lit(len(phrases))),
+                lambda i: F.exists(longest, lambda f: F.startswith(f, F.get(spanish, i - 1))),
             )
-            return F.when((F.size(longest) > 0) & (current["following"] <= len(phrases)), F.array_min(hits))
+            return F.array_min(hits)
+
+        def search(lowered: Column) -> Column:
+            found = F.array_distinct(F.regexp_extract_all(lowered, F.lit(f"(?=({anywhere}))"), F.lit(1)))
+            left = current["following"] <= len(phrases)
+            return F.when(left & lowered.rlike(anywhere), bind(found, position))
 
-        return bind(found, position)
+        return bind(F.lower(current["text"]), search)
 
     def step(current: Column, _: Column) -> Column:
         def apply(i: Column) -> Column:
-            entry = F.get(table, i - 1)
-            replaced = F.regexp_replace(current["text"], entry["pattern"], entry["english"])
+            replaced = replace(current["text"], i)
             return F.when(
                 i.isNull(), state(current["text"], current["following"], F.lit(False))
             ).otherwise(state(replaced, i + 1, F.lit(True)))
@@ -101,25 +104,20 @@ def replace_phrases(text: Column, phrases: Pairs = PHRASES) -> Column:
     return F.when(unusual(text), _in_turn(text, ordered)).otherwise(_present_only(text, ordered))
 
 
-def _swap(words: Pairs) -> Callable[[Column], Column]:
+def _swap(pairs: Pairs) -> Callable[[Column], Column]:
     """What becomes of one word (or of any other run of characters)."""
     # One small map per word length, so a lookup compares a handful of keys, not all.
     by_size: dict[int, list[tuple[str, str]]] = defaultdict(list)
-    for spanish, english in words:
+    for spanish, english in pairs:
         by_size[len(spanish)].append((spanish, english))
     longest = max(by_size)
-    tables = F.array(
-        *[
-            F.create_map(*[F.lit(part) for pair in by_size.get(size, [("", "")]) for part in pair])
-            for size in range(1, longest + 1)
-        ]
-    )
+    tables = F.array(*[table(by_size.get(size, [("", "")])) for size in range(1, longest + 1)])
 
     def swap(run: Column) -> Column:
-        table = F.get(tables, F.length(run) - 1)
+        same_size = F.get(tables, F.length(run) - 1)
         key = F.lower(run)
         found = F.coalesce(
-            F.element_at(table, key), F.element_at(table, F.translate(key, ACCENTED, PLAIN))
+            F.element_at(same_size, key), F.element_at(same_size, F.translate(key, ACCENTED, PLAIN))
         )
         initial = F.substring(run, 1, 1)
         capital = F.concat(F.upper(F.substring(found, 1, 1)), F.substring(found, 2, 99))
@@ -144,13 +142,13 @@ def _every_run(text: Column, swap: Callable[[Column], Column]) -> Column:
     return F.array_join(F.transform(runs, swap), "")
 
 
-def _known_only(text: Column, words: Pairs, swap: Callable[[Column], Column]) -> Column:
+def _known_only(text: Column, pairs: Pairs, swap: Callable[[Column], Column]) -> Column:
     """The same result by looking up only words that the dictionary may know.
 
     One pattern finds them, whatever their case and accents, and marks their ends.
     """
-    table = str.maketrans(ACCENTED, PLAIN)
-    plain = dict.fromkeys(spanish.translate(table) for spanish, _ in words)
+    unmark = str.maketrans(ACCENTED, PLAIN)
+    plain = dict.fromkeys(spanish.translate(unmark) for spanish, _ in pairs)
     known = f"(?<![{LETTERS}]){any_of(plain, _letter)}(?![{LETTERS}])"
     pieces = F.split(F.regexp_replace(text, known, f"{MARK}$0{MARK}"), MARK)
     # Every odd place lies between two marks and is a word.
@@ -158,12 +156,12 @@ def _known_only(text: Column, words: Pairs, swap: Callable[[Column], Column]) ->
     return F.array_join(swapped, "")
 
 
-def replace_words(text: Column, words: Pairs = WORDS) -> Column:
+def replace_words(text: Column, pairs: Pairs = WORDS) -> Column:
     """Replace known words; ALL CAPS and Capitalised words keep their form."""
-    swap = _swap(words)
-    return F.when(unusual(text), _every_run(text, swap)).otherwise(_known_only(text, words, swap))
+    swap = _swap(pairs)
+    return F.when(unusual(text), _every_run(text, swap)).otherwise(_known_only(text, pairs, swap))
 
 
-def dict_rewrite(text: Column, phrases: Pairs = PHRASES, words: Pairs = WORDS) -> Column:
+def dict_rewrite(text: Column, phrases: Pairs = PHRASES, pairs: Pairs = WORDS) -> Column:
     """Phrases, then words, then white space."""
-    return clean(bind(replace_phrases(text, phrases), lambda phrased: replace_words(phrased, words)))
+    return clean(bind(replace_phrases(text, phrases), lambda phrased: replace_words(phrased, pairs)))

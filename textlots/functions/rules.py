@@ -11,32 +11,31 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textlots.functions.bind import bind
+from textlots.functions.bind import bind, words
+from textlots.functions.keywords import any_of
 from textlots.packs.model import Pack
 
 
-def words(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(value) for value in values])
-
-
 def any_hit(lowered: Column, keywords: Iterable[str]) -> Column:
     return F.exists(words(keywords), lambda word: F.contains(lowered, word))
 
 
 def scores(lowered: Column, pack: Pack) -> Column:
-    """Per rule, how many of its keywords occur in the text."""
+    """Per rule, how many of its keywords occur in the text; null if none does."""
     rules = F.array(*[words(k.lower() for k in rule.keywords) for rule in pack.rules])
-    return F.transform(
+    counts = F.transform(
         rules, lambda keywords: F.size(F.filter(keywords, lambda word: F.contains(lowered, word)))
     )
+    # One pattern for all keywords settles texts that hold none of them.
+    some = lowered.rlike(any_of(k.lower() for rule in pack.rules for k in rule.keywords))
+    return F.when(some, counts)
 
 
 def best_rule(text: Column, pack: Pack) -> Column:
     """1-based position of the first rule with the highest score, null if no keyword occurs."""
 
     def first_best(found: Column) -> Column:
-        top = F.array_max(found)
-        return F.when(top > 0, F.array_position(found, top).cast("int"))
+        return F.array_position(found, F.array_max(found)).cast("int")
 
     return bind(F.lower(text), lambda lowered: bind(scores(lowered, pack), first_best))
 
@@ -53,16 +52,16 @@ def rule_attr(position: Column, pack: Pack, key: str) -> Column:
 
 def severity(lowered: Column, critical: Iterable[str], low: Iterable[str]) -> Column:
     return (
-        F.when(any_hit(lowered, critical), "critica")
-        .when(any_hit(lowered, low), "baja")
+        F.when(lowered.rlike(any_of(critical)), "critica")
+        .when(lowered.rlike(any_of(low)), "baja")
         .otherwise("media")
     )
 
 
 def first_module(lowered: Column, modules: Iterable[tuple[str, str]], default: str) -> Column:
     """Name beside the first substring that occurs in the text."""
-    pairs = F.array(
-        *[F.struct(F.lit(word).alias("word"), F.lit(name).alias("name")) for word, name in modules]
-    )
-    found = F.filter(pairs, lambda pair: F.contains(lowered, pair["word"]))
-    return F.coalesce(F.get(found, F.lit(0))["name"], F.lit(default))
+    pairs = list(modules)
+    known = words(word for word, _ in pairs)
+    first = F.get(F.filter(known, lambda word: F.contains(lowered, word)), F.lit(0))
+    name = F.get(words(name for _, name in pairs), (F.array_position(known, first) - 1).cast("int"))
+    return F.coalesce(name, F.lit(default))

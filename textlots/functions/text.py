@@ -57,8 +57,11 @@ def normalize(c: Column) -> Column:
 
 
 def dedup_key(c: Column) -> Column:
-    """16 bytes that are equal for texts equal up to case and outer white space."""
-    return F.unhex(F.md5(F.lower(strip(c))))
+    """16 bytes that are equal for texts equal up to case and outer white space.
+
+    Never null, so that joins on it put no filter of their own below the shuffle.
+    """
+    return F.coalesce(F.unhex(F.md5(F.lower(strip(c)))), F.lit(b""))
 
 
 def header_like(c: Column) -> Column:

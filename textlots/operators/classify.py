@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlots.functions.bind import bind
-from textlots.functions.rules import best_rule, rule_attr, scores, words
+from textlots.functions.bind import bind, words
+from textlots.functions.rules import best_rule, rule_attr, scores
 from textlots.functions.text import amount_hint, date_hint
 from textlots.packs import PACKS, Pack, Rule
 

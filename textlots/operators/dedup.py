@@ -15,8 +15,10 @@ BATCH = ("batch_id",)
 ORDER = ("source", "row_no")
 
 
-def with_key(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn("key", dedup_key(F.col(text)))
+def with_key(df: DataFrame, text: str = "text", by: Sequence[str] = BATCH) -> DataFrame:
+    """Add the dedup key; a lot without a name becomes the lot named by an empty string."""
+    named = {name: F.coalesce(F.col(name).cast("string"), F.lit("")) for name in by}
+    return df.withColumns({**named, "key": dedup_key(F.col(text))})
 
 
 def canonical(df: DataFrame, carry: Sequence[str] = (), by: Sequence[str] = BATCH) -> DataFrame:
@@ -61,7 +63,7 @@ def exact_dedup(
     df: DataFrame, by: Sequence[str] = BATCH, text: str = "text", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Every row with the identity of its canonical row and a flag for canonical rows."""
-    rows = with_key(df, text)
+    rows = with_key(df, text, by)
     copies = canonical(rows.select(*by, *ORDER, "key"), by=by).where(F.col("n_rows") > 1)
     mapped = with_canonical(rows, copies, ["canon_source", "canon_row_no"], by, hot_rows)
     source = F.coalesce("canon_source", "source")

@@ -35,8 +35,10 @@ def lookup_join(
     last key column that differs per row and never occurs in the lookup.
     """
     *outer, last = keys
-    # Both parts carry the same columns, so that they share one shuffle of the lookup.
-    found = F.struct(*payload, F.col(weight).alias("_weight"))
+    # The lookup serves both parts, and often took a full scan to compute: it is settled
+    # once, which also keeps its partitioning for the join.
+    lookup = settled(lookup.select(*keys, weight, *payload))
+    found = F.struct(*payload)
     hot = (
         lookup.where(F.col(weight) >= hot_rows)
         .orderBy(F.desc(weight), *keys)

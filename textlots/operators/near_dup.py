@@ -22,7 +22,8 @@ SALTS = 64
 
 
 def vector_key(vec: Column) -> Column:
-    return F.unhex(F.md5(F.array_join(F.transform(vec, lambda x: x.cast("string")), ",")))
+    joined = F.array_join(F.transform(vec, lambda x: x.cast("string")), ",")
+    return F.coalesce(F.unhex(F.md5(joined)), F.lit(b""))
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
