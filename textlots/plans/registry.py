@@ -164,11 +164,12 @@ def rule_match_long(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rule_table_match(spark: SparkSession, d: str) -> DataFrame:
-    """A pack kept as a table: one type per part type, the part's own words as keywords."""
+    """A pack kept as a table: a rule per part type, found by the type's first letters."""
     parts = spark.read.parquet(f"{d}/part.parquet")
+    first, second = F.ascii("p_type"), F.ascii(F.substring("p_type", 2, 1))
     table = parts.groupBy("p_type").agg(F.min("p_size").alias("p_size")).select(
         F.lit("parts").alias("domain"),
-        F.dense_rank().over(cl_order()).alias("rule_order"),
+        (first * 256 + second).alias("rule_order"),
         F.col("p_type").alias("type"),
         F.substring(F.lower("p_type"), 1, 2).alias("keyword"),
         F.create_map(F.lit("severity"), F.col("p_size").cast("string")).alias("attrs"),
@@ -178,12 +179,6 @@ def rule_table_match(spark: SparkSession, d: str) -> DataFrame:
     return done.select("batch_id", "source", "row_no", "classification.part_type", "classification.severity")
 
 
-def cl_order():
-    from pyspark.sql import Window
-
-    return Window.orderBy("p_type")
-
-
 def playbook_join(spark: SparkSession, d: str) -> DataFrame:
     triaged = reports.triage(inputs.reports(spark, d))
     # Every third module name is shortened, so that partial matches occur too.
