@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # No stack trace per column expression: the trees here have thousands of them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
