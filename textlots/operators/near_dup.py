@@ -54,14 +54,16 @@ def _keep_first(vectors: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _first_open(rows: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """First ``n`` rows of each lot; in two steps, so that no task sees a whole lot."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    """First ``n`` rows of each lot.
+
+    In two steps over keys alone, so that no task sees a whole lot or sorts vectors.
+    """
+    salted = rows.select(*by, "key", *order).withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
     some = Window.partitionBy(*by, "_salt").orderBy(*order)
     few = salted.withColumn("_rn", F.row_number().over(some)).where(F.col("_rn") <= n)
     all_salts = Window.partitionBy(*by).orderBy(*order)
-    return (
-        few.withColumn("_rn", F.row_number().over(all_salts)).where(F.col("_rn") <= n).drop("_rn", "_salt")
-    )
+    first = few.withColumn("_rn", F.row_number().over(all_salts)).where(F.col("_rn") <= n)
+    return rows.join(first.select(*by, "key"), [*by, "key"], "left_semi")
 
 
 def _owners(
