@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlots.operators.joins import settled
@@ -15,8 +15,6 @@ from textlots.session import work_dir
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
-__all__ = ["SPACES", "WORD", "documents", "keyed", "on_key", "per_copy", "settled", "slices", "stored", "table"]
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,6 +40,37 @@ def on_key(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
     return joined if how in ("left_semi", "left_anti") else joined.drop("_id", "_hash")
 
 
+def one_row_each(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """One of the rows of ``docs``, all columns, for each distinct (doc_id, text_hash) of settled ``keys``.
+
+    The texts are shuffled once: the join leaves equal rows side by side for the numbering.
+    """
+    names = fresh(docs, "id", "hash", "no")
+    known, mark, number = names
+    wanted = keys.select(id_text(keys["doc_id"]).alias(known), F.col("text_hash").alias(mark))
+    rows = docs.withColumns({known: id_text(F.col("doc_id")), mark: F.xxhash64("text")})
+    rows = rows.join(wanted, [known, mark], "left_semi")
+    place = F.row_number().over(Window.partitionBy(known, mark).orderBy(known))
+    return rows.withColumn(number, place).where(F.col(number) == 1).select(*[rows[c] for c in docs.columns])
+
+
+def id_text(doc_id: Column) -> Column:
+    """An id as text that differs from every other id's, a null's included."""
+    return F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit(""))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the table does not have, whatever its columns are called."""
+    taken = {name.lower() for name in df.columns}
+    made = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        made.append(name)
+    return made
+
+
 def per_copy(rows: DataFrame, copies: str) -> DataFrame:
     """One row for each of the equal input rows that a row stands for."""
     times = F.array_repeat(F.lit(0), F.col(copies).cast("int"))
