@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlots.llm import decontaminate, simhash
+from textlots.llm import decontaminate, quality, simhash
 from textlots.llm.common import documents, table
 
 
@@ -21,6 +21,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rated(documents(spark, sf_dir), table(spark, sf_dir, "labels")).drop("text")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(documents(spark, sf_dir))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -28,6 +32,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
 }
 
