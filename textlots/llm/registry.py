@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlots.llm import decontaminate, quality, simhash
+from textlots.llm import decontaminate, quality, simhash, tokens
 from textlots.llm.common import documents, table
 
+TOKEN_LIMIT = 512
+
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
@@ -30,10 +32,23 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """Path of a public tokenizer file."""
+    from public_tokenizers import path
+
+    return str(path(name))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = tokens.token_counts(documents(spark, sf_dir), tokenizer_file())
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
+    "op5_token_counts": op5_token_counts,
 }
 
 SQL = {
