@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlots.llm import decontaminate, quality, simhash, tokens
-from textlots.llm.common import documents, table
+from textlots.llm import decontaminate, quality, sharding, simhash, token_files, tokens
+from textlots.llm.common import documents, settled, table
+from textlots.session import work_dir
 
 TOKEN_LIMIT = 512
 
@@ -44,11 +45,36 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    folder = work_dir(spark, "slot-map")
+    sizes = settled(sharding.slot_sizes(docs))
+    sharding.store_map(sharding.rebalanced(sizes), folder)
+    return sharding.placed(docs, sharding.load_map(spark, folder), sizes).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        F.col("place").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+        "virtual_slot",
+    )
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_dir(spark, "token-ids")
+    token_files.write_token_files(documents(spark, sf_dir), folder, tokenizer_file())
+    return token_files.documents_of(token_files.read_segments(spark, folder))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
+    "op6_sharding": op6_sharding,
+    "op7_token_files": op7_token_files,
 }
 
 SQL = {
