@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlots.llm import decontaminate, quality, sharding, simhash, token_files, tokens
+from textlots.llm import decontaminate, mixing, quality, sharding, simhash, token_files, tokens
 from textlots.llm.common import documents, settled, table
 from textlots.session import work_dir
 
@@ -68,6 +68,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents_of(token_files.read_segments(spark, folder))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(documents(spark, sf_dir)).select(
+        "doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times"
+    )
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_quality": op3_quality,
@@ -75,6 +81,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_sharding": op6_sharding,
     "op7_token_files": op7_token_files,
+    "op10_mixing": op10_mixing,
 }
 
 SQL = {
