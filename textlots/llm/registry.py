@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlots.llm import decontaminate, mixing, quality, sharding, simhash, token_files, tokens
+from textlots.llm import decontaminate, mixing, quality, sharding, simhash, substrings, token_files, tokens
 from textlots.llm.common import documents, settled, table
 from textlots.session import work_dir
 
@@ -68,6 +68,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents_of(token_files.read_segments(spark, folder))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times"
@@ -81,6 +85,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_sharding": op6_sharding,
     "op7_token_files": op7_token_files,
+    "op8_substrings": op8_substrings,
     "op10_mixing": op10_mixing,
 }
 
@@ -115,5 +120,21 @@ listed AS (
 SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        coalesce(digest, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN counts USING (doc_id) LEFT JOIN listed USING (doc_id)
+""",
+    "op8_substrings": r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+later AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i : i + 19], ' ') ORDER BY doc_id, i) AS n
+    FROM docs, unnest(range(1, len(w) - 18)) AS t(i))
+  WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM later, unnest(range(i, i + 20)) AS t(p)),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS words
+  FROM (SELECT doc_id, p, w[p] AS word FROM docs, unnest(range(1, len(w) + 1)) AS t(p))
+  ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
 """,
 }
