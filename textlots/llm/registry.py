@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlots.llm import decontaminate, mixing, quality, sharding, simhash, substrings, token_files, tokens
+from textlots.llm import decontaminate, language, mixing, quality, sharding, simhash, substrings, token_files, tokens
 from textlots.llm.common import documents, settled, table
 from textlots.session import work_dir
 
@@ -72,6 +72,10 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(documents(spark, sf_dir)).drop("kept")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(documents(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times"
@@ -86,6 +90,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_token_files": op7_token_files,
     "op8_substrings": op8_substrings,
+    "op9_language": op9_language,
     "op10_mixing": op10_mixing,
 }
 
