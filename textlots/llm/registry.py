@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlots.llm import decontaminate, language, mixing, quality, sharding, simhash, substrings, token_files, tokens
+from textlots.llm import decontaminate, language, mixing, pii, quality, sharding, simhash, substrings, token_files, tokens
 from textlots.llm.common import documents, settled, table
 from textlots.session import work_dir
 
@@ -24,6 +24,20 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.personal_data(documents(spark, sf_dir))
+
+    def number(kind: int) -> Column:
+        return F.size(F.filter("base", lambda span: span["kind"] == kind)).cast("bigint")
+
+    return rows.select(
+        "doc_id",
+        *[number(at).alias(f"n_{kind}") for at, kind in enumerate(pii.KINDS)],
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.col("found")).alias("spans"),
+    )
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rated(documents(spark, sf_dir), table(spark, sf_dir, "labels")).drop("text")
 
@@ -84,6 +98,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_pii": op2_pii,
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
