@@ -15,7 +15,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlots.llm.common import keyed, on_key, settled
+from textlots.llm.common import fresh, keyed, on_key, settled
 
 # A word is a run of digits, letters a-z after lower-casing, and non-ASCII characters.
 LOWERED_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -149,8 +149,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def without_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents, all columns, in which no benchmark window occurs."""
     windows = settled(benchmark_windows(benchmark, window))
-    hit = settled(window_hits(docs, windows).select(*KEY).distinct())
-    same = docs["doc_id"].eqNullSafe(hit["doc_id"]) & (F.xxhash64(docs["text"]) == hit["text_hash"])
+    hit_id, hit_hash = fresh(docs, "hit_id", "hit_hash")
+    hit = settled(window_hits(docs, windows).select(*KEY).distinct()).toDF(hit_id, hit_hash)
+    same = F.col("doc_id").eqNullSafe(F.col(hit_id)) & (F.xxhash64("text") == F.col(hit_hash))
     return docs.join(hit, same, "left_anti")
 
 
