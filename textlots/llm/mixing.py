@@ -62,7 +62,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     filled = ranked.withColumns({
         "place": F.row_number().over(by_cap),
         "left": F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0)),
-        "open": F.sum("weight").over(by_cap.rowsBetween(0, Window.unboundedFollowing)),
+        "open": F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)),
     }).withColumn("level", F.col("left") / F.col("open"))
     fits = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("place", "level"))
     level = F.min(fits).over(everything)["level"]
