@@ -119,13 +119,8 @@ def test_near_dedup_equals_brute_force(spark, leaders, slice_rows):
     for batch, matrix in raw.items():
         unit = matrix.astype(np.float64)
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        if batch == "small":
-            # Under 40 distinct vectors only equal ones are merged.
-            expected = [next(j for j in range(i + 1) if (matrix[j] == matrix[i]).all()) for i in range(len(matrix))]
-            method = "exact"
-        else:
-            expected, method = brute_near(unit, 0.92), "semantic"
-        assert [got[batch][i] for i in range(len(matrix))] == [(e, method, e == i) for i, e in enumerate(expected)]
+        expected = brute_near(unit, 0.92)
+        assert [got[batch][i] for i in range(len(matrix))] == [(e, "semantic", e == i) for i, e in enumerate(expected)]
 
 
 def test_near_dedup_chain_keeps_first(spark):
@@ -133,7 +128,7 @@ def test_near_dedup_chain_keeps_first(spark):
     turn = [0.0, 0.35, 0.70]
     rows = [("l", "v", i, [float(np.cos(t)), float(np.sin(t))]) for i, t in enumerate(turn)]
     df = spark.createDataFrame(rows, "batch_id string, source string, row_no bigint, embedding array<float>")
-    done = near_dup.vector_dedup(df, force=True).orderBy("row_no").collect()
+    done = near_dup.vector_dedup(df).orderBy("row_no").collect()
     assert [r.canon_row_no for r in done] == [0, 0, 2]
 
 

@@ -1,6 +1,5 @@
 """Dictionary rewrite, rewrite hook and token counts."""
 
-import base64
 import random
 import re
 import unicodedata
@@ -91,15 +90,6 @@ def test_rewrite_with_batches_and_fallback(spark):
     assert (passed["text_optimized"], passed["optimize_method"]) == ("hola pago", "passthrough")
 
 
-def test_exact_tokens_with_a_rank_file_of_single_bytes(spark, tmp_path):
-    ranks = tmp_path / "bytes.ranks"
-    ranks.write_text("\n".join(f"{base64.b64encode(bytes([b])).decode()} {b}" for b in range(256)))
-    rows = spark.createDataFrame([("hola",), ("ñandú €",), ("",), (None,)], "text string")
-    counted = with_tokens(rows, "text", "n", "exact", str(ranks))
-    bad = counted.where(F.col("n") != F.coalesce(F.octet_length("text"), F.lit(0)))
-    assert counted.count() == 4 and bad.count() == 0
-
-
 def test_native_tokens(spark):
     rows = spark.createDataFrame([("La app, 12345!",), ("",), (None,)], "text string")
     assert [r.n for r in with_tokens(rows, "text", "n").collect()] == [6, 0, 0]

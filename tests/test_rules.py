@@ -50,16 +50,36 @@ def test_ties_go_to_the_earlier_rule_and_hints_need_a_match(spark):
 
 
 def test_table_pack(spark):
+    high = {"severity": "high"}
     table = spark.createDataFrame(
-        [("d", 2, "b", "xx", {"severity": "high"}), ("d", 1, "a", "x", {}), ("d", 2, "b", "yy", {"severity": "high"})],
+        [("d", 2, "b", "xx", high), ("d", 1, "a", "X", {}), ("d", 2, "b", "yy", high), ("d", 2, "aa", "zz", {}),
+         ("d", 3, "b", "zz", {}), ("other", 0, "c", "q", {}), ("d", 4, "e", None, {})],
         "domain string, rule_order int, type string, keyword string, attrs map<string,string>",
     )
-    pack = cl.pack_from_table(table, "d", "kind", {"kind": "none", "severity": "low"})
-    rows = spark.createDataFrame([("x",), ("xx yy",), ("q",)], "text string")
-    done = cl.classify(rows, pack).select("classification.kind", "classification.severity").collect()
-    assert [tuple(r) for r in done] == [("a", "low"), ("b", "high"), ("none", "low")]
-    long = {(r.id, r.type): r.hits for r in cl.match_rules(rows.withColumn("id", F.col("text")), pack).collect()}
-    assert long == {("x", "a"): 1, ("xx yy", "a"): 1, ("xx yy", "b"): 2}
+    rows = spark.createDataFrame([("x",), ("xx YY",), ("q",), ("zz",), (None,)], "text string")
+    done = cl.classify_by_table(rows, table, "d", "kind", {"kind": "none", "severity": "low"})
+    got = done.select("classification.kind", "classification.severity", "classification._matched").collect()
+    assert [tuple(r) for r in got] == [
+        ("a", "low", True), ("b", "high", True), ("none", "low", False), ("aa", "low", True), ("none", "low", False)
+    ]
+    large = spark.range(7000).selectExpr(
+        "'d' AS domain", "cast(id AS int) AS rule_order", "'t' || id AS type", "'word' || id || '.' AS keyword",
+        "map('severity', 'high') AS attrs",
+    )
+    last = cl.classify_by_table(rows.limit(1).selectExpr("'a word6999. here' AS text"), large, "d", "kind", {"kind": "none", "severity": "low"})
+    assert last.first().classification.kind == "t6999"
+
+
+def test_rules_of_one_type_count_together(spark):
+    from dataclasses import replace
+
+    from textlots.operators.costs import type_distribution
+    from textlots.packs import Rule
+
+    other = Rule(REVIEWS.fallback[REVIEWS.type_key], ("zzz",), REVIEWS.rules[0].attrs)
+    pack = replace(REVIEWS, rules=(*REVIEWS.rules, other))
+    canon = spark.createDataFrame([("l", len(pack.rules), 1), ("l", None, 2)], "batch_id string, rule int, n_rows long")
+    assert [tuple(r) for r in type_distribution(canon, pack).collect()] == [("l", other.type, 3)]
 
 
 def test_catalog(spark):

@@ -28,7 +28,7 @@ _MARKED = {
 MARKED = "".join(_MARKED.values())
 UNMARKED = "".join(base * len(chars) for base, chars in _MARKED.items())
 
-# A number of word-like pieces: the estimate used where no tokenizer ranks are given.
+# A number of word-like pieces: an estimate of its tokens.
 PIECE = r"\p{L}+|\p{N}{1,3}|[^\s\p{L}\p{N}]+"
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlots.functions.bind import bind, words
 from textlots.functions.rules import best_rule, rule_attr, scores
 from textlots.functions.text import amount_hint, date_hint
-from textlots.packs import PACKS, Pack, Rule
+from textlots.packs import PACKS, Pack
 
-MAX_PACK_ROWS = 5_000
 HINTS = {"amount_hint": amount_hint, "date_hint": date_hint}
 
 
@@ -58,31 +59,52 @@ def match_rules(df: DataFrame, pack: Pack, text: str = "text") -> DataFrame:
     return matched.select(*kept, F.col("_m")["type"].alias("type"), F.col("_m")["hits"].alias("hits"))
 
 
-def pack_from_table(table: DataFrame, domain: str, type_key: str, fallback: dict[str, str]) -> Pack:
-    """A user's pack kept as a table ``rule_order, type, keyword, attrs``.
+def rules_from_table(table: DataFrame, domain: str, keys: Sequence[str]) -> DataFrame:
+    """A pack kept as a table ``rule_order, type, keyword, attrs``: one row with its ordered rules.
 
-    A pack is configuration: it is read on the driver, and refused if it is not small.
+    A type is one rule; it takes the place and the attributes of its first row. Rules of the
+    same order go by type.
     """
-    rows = table.where(F.col("domain") == domain).limit(MAX_PACK_ROWS + 1).collect()
-    if len(rows) > MAX_PACK_ROWS:
-        raise ValueError(f"a rule pack may hold {MAX_PACK_ROWS} keywords")
-    rules: dict[str, tuple[list[str], dict[str, str]]] = {}
-    for row in sorted(rows, key=lambda r: r["rule_order"]):
-        words, _ = rules.setdefault(row["type"], ([], dict(row["attrs"] or {})))
-        words.append(row["keyword"])
-    keys = [k for k in fallback if k != type_key]
-    return Pack(
-        domain=domain,
-        label=domain,
-        description="",
-        type_key=type_key,
-        result_keys=(type_key, *keys),
-        fallback=fallback,
-        rules=tuple(
-            Rule(name, tuple(words), {k: attrs.get(k, fallback[k]) for k in keys})
-            for name, (words, attrs) in rules.items()
-        ),
+    first = F.min(F.struct("rule_order", *[F.col("attrs")[key].alias(key) for key in keys]))
+    rules = (
+        table.where((F.col("domain") == domain) & F.col("keyword").isNotNull())
+        .groupBy("type")
+        .agg(first.alias("first"), F.array_sort(F.collect_set(F.lower("keyword"))).alias("keywords"))
+    )
+    rule = F.struct(
+        F.col("first.rule_order").alias("rule_order"), "type", "keywords",
+        F.struct(*[F.col(f"first.{key}").alias(key) for key in keys]).alias("attrs"),
+    )
+    return rules.agg(F.array_sort(F.collect_list(rule)).alias("rules"))
+
+
+def classify_by_table(
+    df: DataFrame, table: DataFrame, domain: str, type_key: str, fallback: dict[str, str], text: str = "text",
+    method: str = "rules",
+) -> DataFrame:
+    """Add the struct ``classification`` by a pack that is kept as a table.
+
+    The ordered rules are one value, computed by Spark and given to every task; a pack may
+    hold any number of keywords.
+    """
+    keys = [key for key in fallback if key != type_key]
+    rules, low = F.col("_rules"), F.col("_lowered")
+    ruled = df.withColumns(
+        {"_rules": rules_from_table(table, domain, keys).scalar(), "_lowered": F.lower(F.col(text))}
+    )
+    counted = ruled.withColumn(
+        "_counts",
+        F.transform(rules, lambda rule: F.size(F.filter(rule["keywords"], lambda word: F.contains(low, word)))),
+    ).withColumn("_best", F.array_max("_counts"))
+    place = F.when(F.col("_best") > 0, F.array_position("_counts", F.col("_best")).cast("int") - 1)
+    won = counted.withColumn("_rule", F.get(rules, place))
+    record = F.struct(
+        F.coalesce(F.col("_rule")["type"], F.lit(fallback[type_key])).alias(type_key),
+        *[F.coalesce(F.col("_rule")["attrs"][key], F.lit(fallback[key])).alias(key) for key in keys],
+        F.lit(method).alias("_method"),
+        F.col("_rule").isNotNull().alias("_matched"),
     )
+    return won.withColumn("classification", record).select(*df.columns, "classification")
 
 
 def catalog(spark: SparkSession) -> DataFrame:

@@ -14,16 +14,9 @@ from pyspark.sql import functions as F
 
 from textlots.functions.numbers import at_least_one, cost_usd, round_even, share_pct, truncate
 from textlots.functions.rules import rule_attr
-from textlots.operators.joins import settled
+from textlots.operators.tokens import MODE
 from textlots.packs import Pack
-from textlots.packs.prices import (
-    DAILY_VOLUME,
-    MONTH_DAYS,
-    PRICE_PER_MILLION,
-    PRICES,
-    SAMPLE_ROWS,
-    TOKENIZER,
-)
+from textlots.packs.prices import DAILY_VOLUME, MONTH_DAYS, PRICE_PER_MILLION, PRICES
 
 BATCH = ("batch_id",)
 Prices = Sequence[tuple[str, str, str, float]]
@@ -201,14 +194,14 @@ def break_even(totals: DataFrame) -> DataFrame:
     )
 
 
-def assumptions(totals: DataFrame) -> DataFrame:
+def assumptions(totals: DataFrame, tokenizer: str = MODE) -> DataFrame:
     """What the figures of a lot rest on."""
     return totals.select(
         *keys_of(totals),
         F.col("price_per_million").alias("price_per_million_usd"),
         "daily_volume",
         F.lit(MONTH_DAYS).alias("monthly_multiplier"),
-        F.lit(TOKENIZER).alias("tokenizer"),
+        F.lit(tokenizer).alias("tokenizer"),
         "optimize_enabled",
         _overhead().alias("preprocess_tokens_per_item_estimate"),
         F.lit(ASSUMPTION_NOTE).alias("note"),
@@ -290,8 +283,9 @@ def recalculate(scenarios: DataFrame) -> DataFrame:
 def type_distribution(canon: DataFrame, pack: Pack, by: Sequence[str] = BATCH) -> DataFrame:
     """Rows per type, over all rows of the lot."""
     kind = rule_attr(F.col("rule"), pack, pack.type_key).alias("type")
+    # Rules first, a small table; several rules, and the fallback, may be of one type.
     counts = canon.groupBy(*by, "rule").agg(F.sum("n_rows").alias("n"))
-    return counts.select(*by, kind, "n")
+    return counts.select(*by, kind, "n").groupBy(*by, "type").agg(F.sum("n").alias("n"))
 
 
 def top_types(distribution: DataFrame, k: int = 10, by: Sequence[str] = BATCH) -> DataFrame:
@@ -306,43 +300,15 @@ def strategy_compare(
     method: str = "dictionary",
     dedup_method: str = "exact",
     dictionary: str = "tokens_optimized",
-    sample: int = SAMPLE_ROWS,
     by: Sequence[str] = BATCH,
 ) -> DataFrame:
-    """Dictionary (extrapolated from a sample), rewrite and dedup side by side.
-
-    The sample ratio meets a histogram of token counts, not the rows themselves. The token
-    counts are used twice, so they are settled first: a few numbers per distinct text.
-    """
-    canon = settled(
-        canon.select(
-            *by, "canon_source", "canon_row_no", "n_rows", "tokens_original", "tokens_optimized",
-            F.col(dictionary).alias("_dictionary"),
-        )
-    )
-    in_order = Window.partitionBy(*by).orderBy("canon_source", "canon_row_no")
-    first = canon.withColumn("_rn", F.row_number().over(in_order)).where(F.col("_rn") <= sample)
-    ratio = first.groupBy(*by).agg(
-        (F.sum("_dictionary").cast("double") / F.nullif(F.sum("tokens_original"), F.lit(0))).alias("_ratio")
-    )
-    histogram = canon.groupBy(*by, "tokens_original").agg(
-        F.count("*").alias("_texts"),
-        F.sum("n_rows").alias("_rows"),
-        F.sum("tokens_optimized").alias("_optimized"),
-    )
-    scaled = F.when(F.col("_ratio").isNull(), F.col("tokens_original")).otherwise(
-        at_least_one(truncate(F.col("tokens_original") * F.col("_ratio")))
-    )
-    lots = (
-        histogram.join(ratio, list(by), "left")
-        .groupBy(*by)
-        .agg(
-            F.sum(F.col("tokens_original") * F.col("_texts")).alias("_original"),
-            F.sum(scaled * F.col("_texts")).alias("_dictionary"),
-            F.sum("_optimized").alias("_rewritten"),
-            F.sum("_rows").alias("_before"),
-            F.sum("_texts").alias("_after"),
-        )
+    """Dictionary, rewrite and dedup side by side, from the counts of all distinct texts."""
+    lots = canon.groupBy(*by).agg(
+        F.sum("tokens_original").alias("_original"),
+        F.sum(dictionary).alias("_dictionary"),
+        F.sum("tokens_optimized").alias("_rewritten"),
+        F.sum("n_rows").alias("_before"),
+        F.count("*").alias("_after"),
     )
     original, before, after = F.col("_original"), F.col("_before"), F.col("_after")
     rewritten = F.col("_rewritten") if optimize else F.lit(None).cast("bigint")

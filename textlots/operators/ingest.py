@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from textlots.functions.bind import bind
 from textlots.functions.text import clean, junk_reason
 from textlots.operators.joins import narrow_join, settled
-from textlots.packs.prices import MAX_ROWS
 
 # Header words that point to the text column.
 HEADER_WORDS = (
@@ -123,7 +122,7 @@ def pick_text(
 
 
 def file_quotas(
-    df: DataFrame, lot_rows: int = MAX_ROWS, file_rows: int | None = None, by: Sequence[str] = LOT
+    df: DataFrame, lot_rows: int, file_rows: int | None = None, by: Sequence[str] = LOT
 ) -> DataFrame:
     """Rows, rows kept and a truncation flag per file; files count in name order."""
     batch, source = by
@@ -138,7 +137,7 @@ def file_quotas(
 
 
 def last_rows(
-    df: DataFrame, lot_rows: int = MAX_ROWS, file_rows: int | None = None, by: Sequence[str] = LOT
+    df: DataFrame, lot_rows: int, file_rows: int | None = None, by: Sequence[str] = LOT
 ) -> DataFrame:
     """Per file the last ``row_no`` inside the caps, as ``last_row``.
 
@@ -171,31 +170,36 @@ def last_rows(
 
 
 def cap_rows(
-    df: DataFrame, lot_rows: int = MAX_ROWS, file_rows: int | None = None, by: Sequence[str] = LOT
+    df: DataFrame, lot_rows: int, file_rows: int | None = None, by: Sequence[str] = LOT
 ) -> DataFrame:
-    """First ``lot_rows`` rows of each lot, files in name order, rows in row order."""
+    """First ``lot_rows`` rows of each lot, files in name order, rows in row order.
+
+    Nothing in the library cuts a lot unless a caller asks for it here.
+    """
     ends = settled(last_rows(df, lot_rows, file_rows, by).select(*by, "last_row"))
     kept = narrow_join(df, ends, by).where(F.col("row_no") <= F.col("last_row"))
     return kept.drop("last_row")
 
 
 def source_summary(
-    texts: DataFrame,
-    detected: DataFrame,
-    lot_rows: int = MAX_ROWS,
-    by: Sequence[str] = LOT,
+    texts: DataFrame, detected: DataFrame, quotas: DataFrame | None = None, by: Sequence[str] = LOT
 ) -> DataFrame:
-    """Per file: rows kept, detected column, error text, truncation."""
-    quotas = file_quotas(texts, lot_rows, None, by).drop("_max_row")
+    """Per file: usable rows, detected column, error text, truncation.
+
+    ``row_count`` is what the lot really holds. Only a lot that was cut by ``cap_rows`` has
+    truncated files: pass the ``file_quotas`` of that cut.
+    """
+    counts = texts.groupBy(*by).agg(F.count("*").alias("n_rows"))
+    rows = detected.select(*by, "column_detected").join(counts, list(by), "left")
+    cut = F.lit(False)
+    if quotas is not None:
+        rows = rows.join(quotas.select(*by, F.col("truncated").alias("_cut")), list(by), "left")
+        cut = F.coalesce("_cut", F.lit(False))
     no_column = F.col("column_detected").isNull()
-    return (
-        detected.select(*by, "column_detected")
-        .join(quotas, list(by), "left")
-        .select(
-            *by,
-            F.coalesce("n_kept", F.lit(0)).cast("bigint").alias("row_count"),
-            "column_detected",
-            F.when(no_column, F.concat(F.lit("no text column found in "), F.col(by[-1]))).alias("error"),
-            F.coalesce("truncated", F.lit(False)).alias("truncated"),
-        )
+    return rows.select(
+        *by,
+        F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("row_count"),
+        "column_detected",
+        F.when(no_column, F.concat(F.lit("no text column found in "), F.col(by[-1]))).alias("error"),
+        cut.alias("truncated"),
     )

@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from textlots.operators.dedup import BATCH, ORDER, canonical, with_canonical
 from textlots.operators.joins import settled
 
-# Similarity from which two texts are the same, and the smallest lot compared.
+# Fixed value: similarity from which two texts are the same.
 THRESHOLD = 0.92
-MIN_ITEMS = 40
 
 LEADERS = 2_048
 SLICE_ROWS = 20_000
@@ -143,8 +142,6 @@ def vector_dedup(
     df: DataFrame,
     vec: str = "embedding",
     threshold: float = THRESHOLD,
-    min_items: int = MIN_ITEMS,
-    force: bool = False,
     by: Sequence[str] = BATCH,
     leaders: int = LEADERS,
     slice_rows: int = SLICE_ROWS,
@@ -152,16 +149,11 @@ def vector_dedup(
     """Every row with the row it is kept as, by cosine similarity of its vector.
 
     A row is kept unless an earlier kept row reaches the threshold; otherwise it maps to
-    the first such row. Lots with fewer than ``min_items`` distinct vectors are only
-    merged where vectors are equal, unless ``force`` is set.
+    the first such row. Lots of every size are compared.
     """
     rows = df.withColumn("key", vector_key(F.col(vec)))
     uniques = settled(canonical(rows, [vec], by))
-    sizes = uniques.groupBy(*by).agg(F.count("*").alias("_uniques"))
-    floor = 2 if force else max(min_items, 2)
-    large = settled(sizes.where(F.col("_uniques") >= floor).select(*by, F.lit(True).alias("_large")))
-    compared = uniques.join(large, list(by), "left_semi")
-    owners = _owners(compared, vec, by, threshold, leaders, slice_rows)
+    owners = _owners(uniques, vec, by, threshold, leaders, slice_rows)
     lookup = (
         uniques.select(*by, "key", "n_rows", "canon_source", "canon_row_no")
         .join(owners.select(*by, "key", "kept_source", "kept_row_no"), [*by, "key"], "left")

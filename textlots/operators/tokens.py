@@ -1,75 +1,16 @@
-"""Token counts: an estimate in the JVM, or exact counts with a user's rank file."""
+"""Token counts: an estimate of word-like pieces, in the JVM."""
 
 from __future__ import annotations
 
-import base64
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlots.functions.text import piece_count
 
-MAX_RANKS = 1_000_000
-
-# Fixed value: the published split pattern of the o200k vocabulary.
-SPLIT = "|".join(
-    [
-        r"""[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+(?i:'s|'t|'re|'ve|'m|'ll|'d)?""",
-        r"""[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*(?i:'s|'t|'re|'ve|'m|'ll|'d)?""",
-        r"""\p{N}{1,3}""",
-        r""" ?[^\s\p{L}\p{N}]+[\r\n/]*""",
-        r"""\s*[\r\n]+""",
-        r"""\s+(?!\S)""",
-        r"""\s+""",
-    ]
-)
-
-
-def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
-    """Rank file with lines ``base64 rank``. A vocabulary has a fixed size; this checks it."""
-    lines = spark.read.text(path).limit(MAX_RANKS + 1).collect()
-    if len(lines) > MAX_RANKS:
-        raise ValueError(f"a vocabulary may hold {MAX_RANKS} entries")
-    pairs = (row.value.split() for row in lines if row.value.strip())
-    return {base64.b64decode(token): int(rank) for token, rank in pairs}
-
-
-def exact_count(spark: SparkSession, text: Column, ranks_path: str, pattern: str = SPLIT) -> Column:
-    """Exact BPE count of a column; the encoder is built once per Python worker."""
-    ranks = spark.sparkContext.broadcast(read_ranks(spark, ranks_path))
-
-    @F.pandas_udf("bigint")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import tiktoken
-
-        encoder = tiktoken.Encoding(
-            "ranks", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={}
-        )
-        for texts in batches:
-            yield texts.map(lambda t: len(encoder.encode_ordinary(t)) if t else 0).astype("int64")
-
-    return count(text)
-
+# What the counts are, for reports that name their tokenizer.
+MODE = "native"
 
-def with_tokens(
-    df: DataFrame,
-    text: str,
-    out: str,
-    mode: str = "native",
-    ranks_path: str | None = None,
-    pattern: str = SPLIT,
-) -> DataFrame:
-    """Add a token count; 0 for empty or null text.
 
-    ``native`` counts word-like pieces and is an estimate. ``exact`` needs the rank file of
-    the vocabulary; run it on canonical rows, so that each distinct text is encoded once.
-    """
-    if mode == "native":
-        return df.withColumn(out, piece_count(F.col(text)))
-    if mode != "exact":
-        raise ValueError(f"unknown mode {mode!r}")
-    if not ranks_path:
-        raise ValueError("exact counts need ranks_path")
-    return df.withColumn(out, exact_count(df.sparkSession, F.col(text), ranks_path, pattern))
+def with_tokens(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the number of word-like pieces; 0 for empty or null text."""
+    return df.withColumn(out, piece_count(F.col(text)))

@@ -14,8 +14,5 @@ PRICES = (
 PRICE_PER_MILLION = 2.50
 DAILY_VOLUME = 10_000
 MONTH_DAYS = 30
-TOKENIZER = "o200k_base"
-MAX_ROWS = 50_000
-SAMPLE_ROWS = 200
 PREVIEW_ROWS = 50
 PREVIEW_CHARS = 300

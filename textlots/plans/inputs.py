@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlots.sources.files import file_name, spread
+from textlots.sources.files import file_name
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 UPPER = LOWER.upper()
@@ -61,7 +61,16 @@ REPORT_PHRASES = (
 )
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out the rows of a given table that is one small file with one row group.
+
+    Such a file is read by one task. A table of several splits is left as it is; the
+    library's own readers never deal out rows.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
@@ -72,7 +81,7 @@ def by_length(text: Column, choices: tuple[str, ...]) -> Column:
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as one lot per language, with files as sources and some texts upper-cased."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     text = F.concat(by_length(F.col("text"), PHRASES), F.lit(" "), F.col("text"))
     shouted = F.when(F.col("doc_id") % 50 == 0, F.translate(text, LOWER, UPPER)).otherwise(text)
     return docs.select(
@@ -112,12 +121,12 @@ def reports_from(turns: DataFrame) -> DataFrame:
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports_from(_table(spark, sf_dir, "conversations"))
+    return reports_from(table(spark, sf_dir, "conversations"))
 
 
 def report_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same reports as a stream over the table's files."""
-    schema = _table(spark, sf_dir, "conversations").schema
+    schema = table(spark, sf_dir, "conversations").schema
     files = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet")
     return reports_from(files.parquet(sf_dir))
 
@@ -148,7 +157,7 @@ def nested_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns with a model's answer: good, partial, empty, broken or not an object."""
-    turns = _table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    turns = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
     text = F.col("text")
     quoted = text
     for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
@@ -180,7 +189,7 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``embeddings`` in two lots, each vector once as given and once at twice the length."""
-    given = _table(spark, sf_dir, "embeddings").select(
+    given = table(spark, sf_dir, "embeddings").select(
         F.when(F.col("label") % 2 == 0, "lot_even").otherwise("lot_odd").alias("batch_id"),
         F.lit("vec").alias("source"),
         F.col("vec_id").alias("row_no"),
@@ -223,7 +232,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         file.select("source", F.explode(F.array(*[F.col(c) for c in file.columns if c != "source"])).alias("cell"))
         for file in wide_files(spark, sf_dir)
     ]
-    numbers = _table(spark, sf_dir, "orders").select(
+    numbers = table(spark, sf_dir, "orders").select(
         F.lit("orders").alias("source"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("cell")
     )
     result = numbers

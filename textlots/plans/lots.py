@@ -6,7 +6,7 @@ first copy of each text: one narrow shuffle, no text in it. Totals and type coun
 come from these canonical rows weighted by their number of copies; only the row table
 itself needs the join back.
 
-Where a measure is costly (a user's rewrite function, an exact tokenizer), the order is
+Where the rewrite is a user's function, the order is
 turned round: texts are reduced to canonical rows first and measured once each.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from textlots.functions.numbers import share_pct
 from textlots.functions.rewrite import dict_rewrite
-from textlots.operators.classify import classification, hint_keys, result_column, with_hints, with_rule
+from textlots.operators.classify import classification, hint_keys, with_hints, with_rule
 from textlots.operators.dedup import BATCH, ORDER, canonical, with_canonical, with_key
 from textlots.operators.ingest import drop_junk
 from textlots.operators.joins import narrow_join, settled
@@ -41,11 +41,9 @@ def measure(
     pack: Pack,
     optimize: bool = True,
     batch_fn: BatchFn | None = None,
-    ranks_path: str | None = None,
 ) -> DataFrame:
     """Add token counts before and after the rewrite, the rewrite and the winning rule."""
-    mode = "exact" if ranks_path else "native"
-    counted = with_tokens(df, "text", "tokens_original", mode, ranks_path)
+    counted = with_tokens(df, "text", "tokens_original")
     if not optimize:
         rewritten = counted.withColumns(
             {
@@ -61,7 +59,7 @@ def measure(
             )
         else:
             rewritten = rewrite_with(counted, "text", batch_fn)
-        rewritten = with_tokens(rewritten, "text_optimized", "tokens_optimized", mode, ranks_path)
+        rewritten = with_tokens(rewritten, "text_optimized", "tokens_optimized")
     return with_hints(with_rule(rewritten, pack), pack)
 
 
@@ -74,30 +72,24 @@ def analyze(
     pack: Pack,
     optimize: bool = True,
     batch_fn: BatchFn | None = None,
-    ranks_path: str | None = None,
     with_text: bool = False,
 ) -> DataFrame:
     """Canonical rows of ingested texts with their measures and number of copies.
 
-    ``with_text`` also carries the first characters of the rewrite, for row tables.
+    ``with_text`` also carries the whole rewrite, for row tables.
     """
-    shown = F.substring("text_optimized", 1, PREVIEW_CHARS)
     carry = measures(pack) + (["text_optimized"] if with_text else [])
-    if batch_fn is None and ranks_path is None:
-        rows = measure(texts, pack, optimize).withColumn("text_optimized", shown)
-        return canonical(rows, carry)
+    if batch_fn is None:
+        return canonical(measure(texts, pack, optimize), carry)
     # Python stages run on each distinct text once.
     firsts = settled(canonical(texts, ["text"]))
-    rows = measure(firsts, pack, optimize, batch_fn, ranks_path).withColumn("text_optimized", shown)
+    rows = measure(firsts, pack, optimize, batch_fn)
     return rows.select(*BATCH, "key", "n_rows", "canon_source", "canon_row_no", *carry)
 
 
 def expand(texts: DataFrame, canon: DataFrame, payload: Sequence[str], **options: int) -> DataFrame:
     """Every row with the measures of its canonical row, but its own source and text."""
-    rows = texts.select(
-        *BATCH, *ORDER, "key", F.substring("text", 1, PREVIEW_CHARS).alias("text")
-    )
-    return with_canonical(rows, canon, payload, **options)
+    return with_canonical(texts.select(*BATCH, *ORDER, "key", "text"), canon, payload, **options)
 
 
 def with_savings(df: DataFrame, optimized: bool = True) -> DataFrame:
@@ -155,14 +147,16 @@ def result_table(rows: DataFrame, pack: Pack) -> DataFrame:
     )
 
 
-def preview(texts: DataFrame, pack: Pack, n: int = PREVIEW_ROWS, optimize: bool = True) -> DataFrame:
-    """First ``n`` result rows of each lot, with the size of the lot beside them.
+def preview(
+    texts: DataFrame, pack: Pack, n: int = PREVIEW_ROWS, optimize: bool = True, chars: int = PREVIEW_CHARS
+) -> DataFrame:
+    """First ``n`` result rows of each lot, cut to ``chars``, with the size of the lot beside them.
 
     The rows are chosen first, ``n`` per lot, and only texts with their keys are measured.
     """
     in_order = Window.partitionBy(*BATCH).orderBy(*ORDER)
     sizes = texts.groupBy(*BATCH).agg(F.count("*").alias("results_total"))
-    short = texts.withColumn("text", F.substring("text", 1, PREVIEW_CHARS))
+    short = texts.withColumn("text", F.substring("text", 1, chars))
     chosen = settled(
         short.withColumn("position", F.row_number().over(in_order))
         .where(F.col("position") <= n)
@@ -172,6 +166,7 @@ def preview(texts: DataFrame, pack: Pack, n: int = PREVIEW_ROWS, optimize: bool
     wanted = narrow_join(texts, keys, [*BATCH, "key"], "left_semi")
     shown = chosen.select(*texts.columns)
     rows = result_rows(shown, analyze(wanted, pack, optimize, with_text=True), pack, optimize)
+    rows = rows.withColumn("text_optimized", F.substring("text_optimized", 1, chars))
     return rows.join(chosen.select(*BATCH, *ORDER, "position", "results_total"), [*BATCH, *ORDER])
 
 
@@ -193,8 +188,3 @@ def lot_summary(core: DataFrame, by: Sequence[str] = BATCH) -> DataFrame:
         F.lit(None).cast("double").alias("elapsed_ms"),
     )
     return wide.unpivot(list(by), [*values, "elapsed_ms"], "metrica", "valor")
-
-
-def flat_classes(df: DataFrame, pack: Pack, rule: str = "rule") -> list[Column]:
-    """The pack's result columns as plain columns."""
-    return [result_column(pack, key, rule).alias(key) for key in pack.result_keys]

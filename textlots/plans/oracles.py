@@ -17,7 +17,7 @@ from textlots.packs.dictionary import PHRASES as DICTIONARY
 from textlots.packs.dictionary import WORDS
 from textlots.packs.prices import DAILY_VOLUME, PRICE_PER_MILLION, PRICES
 from textlots.plans import inputs
-from textlots.plans.registry import CAP_FILE, CAP_LOT
+from textlots.plans.registry import LOT_ROWS as CAP
 
 PIECE = r"\p{L}+|\p{N}{1,3}|[^\s\p{L}\p{N}]+"
 AMOUNT = (
@@ -365,8 +365,8 @@ def table_rows(pack: Pack) -> str:
         f"coalesce({result_key(pack, k, 'canon_text')}, '') AS {k}" for k in pack.result_keys
     )
     return f"""WITH {canon(pack)}
-SELECT t.batch_id, t.row_no, t.source AS source_file, substr(t.text, 1, 300) AS texto_original,
-  substr(c.text_optimized, 1, 300) AS texto_optimizado, c.tokens_original,
+SELECT t.batch_id, t.row_no, t.source AS source_file, t.text AS texto_original,
+  c.text_optimized AS texto_optimizado, c.tokens_original,
   c.tokens_optimized AS tokens_optimizado, c.tokens_original - c.tokens_optimized AS ahorro_tokens,
   {pct("c.tokens_original - c.tokens_optimized", "c.tokens_original", 1)} AS ahorro_pct,
   'si' AS optimizado, 'rules' AS metodo_clasificacion, {keys}
@@ -425,9 +425,9 @@ def wide_texts() -> str:
 
 
 CAPPED = f"""files AS (
-  SELECT batch_id, source, count(*) AS n, least(count(*), {{file_cap}}) AS capped FROM {{rows}} GROUP BY ALL),
+  SELECT batch_id, source, count(*) AS n, least(count(*), {CAP}) AS capped FROM feedback GROUP BY ALL),
 kept AS (
-  SELECT batch_id, source, n, greatest(0, least(capped, {CAP_LOT} - coalesce(sum(capped) OVER (
+  SELECT batch_id, source, n, greatest(0, least(capped, {CAP} - coalesce(sum(capped) OVER (
     PARTITION BY batch_id ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS quota
   FROM files)"""
 
@@ -494,16 +494,16 @@ def sql() -> dict[str, str]:
 SELECT w.source, count(*) AS n_texts, sum(length(text))::BIGINT AS n_chars
 FROM wide_texts w JOIN detected d ON w.source = d.source AND w.header = d.column_detected
 WHERE {junk("text")} IS NULL GROUP BY w.source""",
-        "cap_rows": f"""WITH {FEEDBACK}, {CAPPED.format(rows="feedback", file_cap=CAP_FILE)}
+        "cap_rows": f"""WITH {FEEDBACK}, {CAPPED}
 SELECT batch_id, source, row_no FROM (
   SELECT *, row_number() OVER (PARTITION BY batch_id, source ORDER BY row_no) AS rn FROM feedback)
 JOIN kept USING (batch_id, source) WHERE rn <= quota""",
-        "source_summary": f"""WITH {TEXTS}, {CAPPED.format(rows="texts", file_cap=CAP_LOT)}
-SELECT f.batch_id, f.source, coalesce(quota, 0)::BIGINT AS row_count,
+        "source_summary": f"""WITH {TEXTS}, counts AS (SELECT batch_id, source, count(*) AS n FROM texts GROUP BY ALL)
+SELECT f.batch_id, f.source, coalesce(n, 0)::BIGINT AS row_count,
   CASE WHEN n > 0 THEN 'text' END AS column_detected,
   CASE WHEN coalesce(n, 0) = 0 THEN 'no text column found in ' || f.source END AS error,
-  coalesce(quota < n, false) AS truncated
-FROM (SELECT DISTINCT batch_id, source FROM feedback) f LEFT JOIN kept USING (batch_id, source)""",
+  false AS truncated
+FROM (SELECT DISTINCT batch_id, source FROM feedback) f LEFT JOIN counts USING (batch_id, source)""",
         "result_table": table_rows(REVIEWS),
         "result_table_contracts": table_rows(CONTRACTS),
         "lot_summary": f"WITH {totals()}, {core()} {LOT_ROWS}",
@@ -554,8 +554,8 @@ firsts AS (
 SELECT batch_id, 'vec' AS source, row_no, 'vec' AS canon_source, canon_row_no, row_no = canon_row_no AS is_canonical,
   'semantic' AS method FROM firsts""",
         "expand_results": f"""WITH {canon()}
-SELECT t.batch_id, t.source, t.row_no, substr(t.text, 1, 300) AS text, canon_source, canon_row_no,
-  c.tokens_original, c.tokens_optimized, substr(c.text_optimized, 1, 300) AS text_optimized
+SELECT t.batch_id, t.source, t.row_no, t.text, canon_source, canon_row_no,
+  c.tokens_original, c.tokens_optimized, c.text_optimized
 FROM texts t JOIN canon c USING (batch_id, key)""",
         "rule_match_long": f"""WITH {FEEDBACK}
 SELECT batch_id, source, row_no, m.type AS type, m.hits AS hits FROM (
@@ -651,7 +651,7 @@ CROSS JOIN (SELECT unnest(generate_series(1, 30))::INT AS day)""",
 SELECT batch_id, {EVEN.replace("NAME", "items")} FROM ({OVERHEAD} FROM ({MEANS} FROM totals))""",
         "assumptions": f"""WITH {totals()}
 SELECT batch_id, price_per_million AS price_per_million_usd, daily_volume, 30::INT AS monthly_multiplier,
-  'o200k_base' AS tokenizer, optimize_enabled, overhead AS preprocess_tokens_per_item_estimate,
+  'native' AS tokenizer, optimize_enabled, overhead AS preprocess_tokens_per_item_estimate,
   {q(costs.ASSUMPTION_NOTE)} AS note FROM ({OVERHEAD} FROM ({MEANS} FROM totals))""",
         "type_distribution": f"WITH {distribution(REVIEWS)} SELECT * FROM distribution",
         "type_distribution_contracts": f"WITH {distribution(CONTRACTS)} SELECT * FROM distribution",
@@ -660,15 +660,10 @@ SELECT batch_id, price_per_million AS price_per_million_usd, daily_volume, 30::I
 SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY n DESC, type)::INT AS position FROM distribution
 QUALIFY position <= 10""",
         "strategy_compare": f"""WITH {canon()},
-ratios AS (
-  SELECT batch_id, sum(tokens_optimized)::DOUBLE / sum(tokens_original)::DOUBLE AS ratio
-  FROM (SELECT * FROM canon
-        QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY canon_source, canon_row_no) <= 200)
-  GROUP BY batch_id),
 lots AS (
   SELECT batch_id, sum(tokens_original)::BIGINT AS o, sum(tokens_optimized)::BIGINT AS n,
-    sum(greatest(1, trunc(tokens_original * ratio)::BIGINT))::BIGINT AS d, sum(n_rows)::BIGINT AS before,
-    count(*) AS after FROM canon JOIN ratios USING (batch_id) GROUP BY batch_id)
+    sum(tokens_optimized)::BIGINT AS d, sum(n_rows)::BIGINT AS before, count(*) AS after
+  FROM canon GROUP BY batch_id)
 SELECT batch_id, 'a_dictionary' AS strategy, 'dictionary' AS method, d AS tokens, o - d AS savings_vs_original,
   {pct("o - d", "o", 2)} AS savings_pct, NULL::BIGINT AS items_before, NULL::BIGINT AS items_after,
   NULL::BIGINT AS tokens_canonical_original, NULL::BIGINT AS tokens_canonical_translated,

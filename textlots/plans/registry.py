@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlots.functions import text as tx
@@ -19,8 +19,8 @@ from textlots.streaming import reports as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Row caps of the cap query, small enough to cut every lot of the test tables.
-CAP_LOT, CAP_FILE = 60, 20
+# Rows of a lot that the cap query keeps: the usual limit of one upload.
+LOT_ROWS = 50_000
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -36,7 +36,7 @@ def _totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return files.spread(spark.read.parquet(f"{d}/documents.parquet"))
+    return inputs.table(spark, d, "documents")
 
 
 # A. sources and sinks
@@ -63,18 +63,14 @@ def union_lots(spark: SparkSession, d: str) -> DataFrame:
 
 def cap_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = inputs.feedback(spark, d).select("batch_id", "source", "row_no")
-    return ingest.cap_rows(rows, CAP_LOT, CAP_FILE)
+    return ingest.cap_rows(rows, LOT_ROWS)
 
 
 def source_summary(spark: SparkSession, d: str) -> DataFrame:
     raw = inputs.feedback(spark, d)
     by = ["batch_id", "source"]
     detected = ingest.detect_text_column(raw, by, ["text"])
-    return ingest.source_summary(ingest.drop_junk(raw), detected, lot_rows=CAP_LOT)
-
-
-def admit_files(spark: SparkSession, d: str) -> DataFrame:
-    return files.admit_files(spark, d, [".parquet"], 1_000_000).select("source", "size_bytes", "error")
+    return ingest.source_summary(ingest.drop_junk(raw), detected)
 
 
 def result_table(spark: SparkSession, d: str) -> DataFrame:
@@ -166,16 +162,18 @@ def rule_match_long(spark: SparkSession, d: str) -> DataFrame:
 def rule_table_match(spark: SparkSession, d: str) -> DataFrame:
     """A pack kept as a table: a rule per part type, found by the type's first letters."""
     parts = spark.read.parquet(f"{d}/part.parquet")
-    first, second = F.ascii("p_type"), F.ascii(F.substring("p_type", 2, 1))
-    table = parts.groupBy("p_type").agg(F.min("p_size").alias("p_size")).select(
+    # Each type has a rank of its own: how many types sort before it.
+    types = parts.groupBy("p_type").agg(F.min("p_size").alias("p_size"))
+    table = types.select(
         F.lit("parts").alias("domain"),
-        (first * 256 + second).alias("rule_order"),
+        F.dense_rank().over(Window.orderBy("p_type")).alias("rule_order"),
         F.col("p_type").alias("type"),
         F.substring(F.lower("p_type"), 1, 2).alias("keyword"),
         F.create_map(F.lit("severity"), F.col("p_size").cast("string")).alias("attrs"),
     )
-    pack = cl.pack_from_table(table, "parts", "part_type", {"part_type": "none", "severity": "low"})
-    done = cl.classify(inputs.feedback(spark, d), pack)
+    done = cl.classify_by_table(
+        inputs.feedback(spark, d), table, "parts", "part_type", {"part_type": "none", "severity": "low"}
+    )
     return done.select("batch_id", "source", "row_no", "classification.part_type", "classification.severity")
 
 
@@ -251,7 +249,7 @@ def triage_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_escape(spark: SparkSession, d: str) -> DataFrame:
-    pages = files.spread(spark.read.parquet(f"{d}/pages.parquet"))
+    pages = inputs.table(spark, d, "pages")
     return pages.select("page_id", tx.html_escape(F.col("html")).alias("html_escaped"))
 
 
@@ -404,7 +402,6 @@ QUERIES: dict[str, Query] = {
     "union_lots": union_lots,
     "cap_rows": cap_rows,
     "source_summary": source_summary,
-    "admit_files": admit_files,
     "result_table": result_table,
     "result_table_contracts": result_table_contracts,
     "lot_summary": lot_summary,

@@ -13,7 +13,6 @@ from textlots.operators.ingest import header as header_column
 from textlots.operators.joins import settled
 
 FORMATS = ("csv", "json", "parquet", "orc", "text")
-MAX_BYTES = 80 * 1024 * 1024
 
 
 def file_name() -> Column:
@@ -35,7 +34,7 @@ def admit_files(
     spark: SparkSession,
     path: str | Sequence[str],
     extensions: Sequence[str],
-    max_bytes: int = MAX_BYTES,
+    max_bytes: int | None = None,
     expected: Sequence[str] = (),
 ) -> DataFrame:
     """Status of every file: name, size and why it is refused (null: admitted).
@@ -53,24 +52,16 @@ def admit_files(
         listed = listed.unionByName(absent.withColumn("size_bytes", F.lit(0).cast("bigint")))
     extension = F.lower(F.concat(F.lit("."), F.substring_index("source", ".", -1)))
     known = F.contains("source", F.lit(".")) & extension.isin(*allowed)
-    limit = f" exceeds the maximum size ({max_bytes // (1024 * 1024)} MB)"
+    too_large = F.lit(False) if max_bytes is None else F.col("size_bytes") > max_bytes
+    limit = "" if max_bytes is None else f" exceeds the maximum size ({max_bytes // (1024 * 1024)} MB)"
     return listed.withColumn(
         "error",
         F.when(~known, F.concat(F.lit("type not allowed: "), "source"))
         .when(F.col("size_bytes") <= 0, F.concat(F.lit("empty or missing file: "), "source"))
-        .when(F.col("size_bytes") > max_bytes, F.concat("source", F.lit(limit))),
+        .when(too_large, F.concat("source", F.lit(limit))),
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out the rows of a few files that cannot be split, so that all cores get some.
-
-    Input that already has a partition per core, as any large lot has, is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def _read(spark: SparkSession, paths: Sequence[str], fmt: str, header: bool) -> DataFrame:
     if fmt not in FORMATS:
         raise ValueError(f"format {fmt!r} is not one of {', '.join(FORMATS)}")
