@@ -504,6 +504,10 @@ SELECT f.batch_id, f.source, coalesce(n, 0)::BIGINT AS row_count,
   CASE WHEN coalesce(n, 0) = 0 THEN 'no text column found in ' || f.source END AS error,
   false AS truncated
 FROM (SELECT DISTINCT batch_id, source FROM feedback) f LEFT JOIN counts USING (batch_id, source)""",
+        **{
+            f"read_back_{fmt}": f"WITH {FEEDBACK} SELECT batch_id AS lot, row_no AS doc_id, text FROM feedback"
+            for fmt in ("csv", "json", "parquet")
+        },
         "result_table": table_rows(REVIEWS),
         "result_table_contracts": table_rows(CONTRACTS),
         "lot_summary": f"WITH {totals()}, {core()} {LOT_ROWS}",

@@ -73,6 +73,21 @@ def source_summary(spark: SparkSession, d: str) -> DataFrame:
     return ingest.source_summary(ingest.drop_junk(raw), detected)
 
 
+def _read_back(fmt: str) -> Query:
+    """The lots written out as files of a format, and the cells that the reader finds in them."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        folder = work_dir(spark, f"lots-{fmt}")
+        rows = inputs.feedback(spark, d).select(
+            F.col("batch_id").alias("lot"), F.col("row_no").alias("doc"), F.col("text").alias("texto")
+        )
+        files.write_results(rows, folder, fmt, ["lot"])
+        cells = files.read_cells(spark, [folder], fmt, "all")
+        return cells.select("lot", F.col("doc").cast("bigint").alias("doc_id"), F.col("texto").alias("text"))
+
+    return query
+
+
 def result_table(spark: SparkSession, d: str) -> DataFrame:
     return _result_table(spark, d, REVIEWS)
 
@@ -402,6 +417,9 @@ QUERIES: dict[str, Query] = {
     "union_lots": union_lots,
     "cap_rows": cap_rows,
     "source_summary": source_summary,
+    "read_back_csv": _read_back("csv"),
+    "read_back_json": _read_back("json"),
+    "read_back_parquet": _read_back("parquet"),
     "result_table": result_table,
     "result_table_contracts": result_table_contracts,
     "lot_summary": lot_summary,

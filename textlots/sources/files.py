@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+from collections.abc import Callable, Iterable, Sequence
+from functools import partial
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,8 @@ from textlots.operators.ingest import header as header_column
 from textlots.operators.joins import settled
 
 FORMATS = ("csv", "json", "parquet", "orc", "text")
+# Where Spark puts the text of a line that it cannot parse.
+BROKEN = "_corrupt_record"
 
 
 def file_name() -> Column:
@@ -62,28 +67,51 @@ def admit_files(
     )
 
 
-def _read(spark: SparkSession, paths: Sequence[str], fmt: str, header: bool) -> DataFrame:
+def _read(
+    spark: SparkSession,
+    paths: Sequence[str],
+    fmt: str,
+    header: bool,
+    multi_line: bool = True,
+    base: str | None = None,
+) -> DataFrame:
+    """Files as they are. A damaged file fails the read with its name: half of one is never kept."""
     if fmt not in FORMATS:
         raise ValueError(f"format {fmt!r} is not one of {', '.join(FORMATS)}")
-    reader = spark.read.option("ignoreCorruptFiles", "true")
+    reader = spark.read
     if fmt == "csv":
-        # inferSchema stays off: every cell is a string.
-        reader = reader.option("header", header).option("multiLine", False).option("mode", "PERMISSIVE")
+        # inferSchema stays off: every cell is a string. A quote inside a cell is doubled.
+        reader = reader.options(header=header, multiLine=multi_line, mode="PERMISSIVE", quote='"', escape='"')
     if fmt == "json":
         reader = reader.option("primitivesAsString", "true").option("mode", "PERMISSIVE")
+    if base:
+        reader = reader.option("basePath", base)
     return reader.format(fmt).load(list(paths))
 
 
-def read_cells(
-    spark: SparkSession, paths: Sequence[str], fmt: str, batch_id: str, header: bool = True
-) -> DataFrame:
-    """All columns of the files of a lot as strings, with file name and row number."""
-    raw = _read(spark, paths, fmt, header)
+def _first_lines(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """First line of every file, by its path: one row per listed file reaches the driver."""
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), file_order().alias("place"), "value"
+    )
+    firsts = lines.groupBy("path").agg(F.min_by("value", "place").alias("line")).collect()
+    return {unquote(row.path): row.line for row in firsts}
+
+
+def _grouped(lines: dict[str, str], key: Callable[[str], object]) -> list[list[str]]:
+    groups: dict[object, list[str]] = {}
+    for path, line in sorted(lines.items()):
+        groups.setdefault(key(line), []).append(path)
+    return list(groups.values())
+
+
+def _cells(raw: DataFrame, batch_id: str, header: bool) -> DataFrame:
     cells = []
     for i, f in enumerate(raw.schema.fields):
-        if f.name == "_corrupt_record":
+        if f.name == BROKEN:
             continue
-        name = f.name if header and f.name.strip() and not f.name.startswith("_c") else f"col_{i}"
+        # Spark names a column without a header by its place.
+        name = f.name if header and f.name.strip() and f.name != f"_c{i}" else f"col_{i}"
         if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
             cell = F.to_json(header_column(f.name))
         else:
@@ -94,31 +122,82 @@ def read_cells(
     )
 
 
+def read_cells(
+    spark: SparkSession,
+    paths: Sequence[str],
+    fmt: str,
+    batch_id: str,
+    header: bool = True,
+    multi_line: bool = True,
+) -> DataFrame:
+    """All columns of the files of a lot as strings, with file name and row number.
+
+    CSV files are read by their own header: one read per distinct header, columns by name.
+    ``multi_line`` lets a quoted cell go over several lines; without it large files are
+    split over tasks, for files that are known to hold no such cell.
+    """
+    if fmt != "csv":
+        return _cells(_read(spark, paths, fmt, header), batch_id, header)
+    lines = _first_lines(spark, paths)
+    if not lines:
+        return _cells(_read(spark, paths, fmt, header, multi_line), batch_id, header)
+    # Without a header only the number of columns has to agree.
+    key = (lambda line: line) if header else (lambda line: len(next(csv.reader([line]), [])))
+    reader_of = partial(_read, spark, fmt=fmt, header=header, multi_line=multi_line, base=_folder(paths, lines))
+    parts = [reader_of(group) for group in _grouped(lines, key)]
+    return unite(*[_cells(part, batch_id, header) for part in parts])
+
+
+def _folder(paths: Sequence[str], files: Iterable[str]) -> str | None:
+    """The one folder that was asked for, whose subfolders may name columns."""
+    if len(paths) != 1 or any(sign in paths[0] for sign in "*?[{"):
+        return None
+    folder = paths[0].rstrip("/")
+    return None if any(file.endswith(folder) for file in files) else folder
+
+
+def broken_rows(spark: SparkSession, paths: Sequence[str], fmt: str, batch_id: str) -> DataFrame:
+    """(batch_id, source, broken_rows) of files with lines that are no JSON."""
+    if fmt != "json":
+        return spark.createDataFrame([], "batch_id string, source string, broken_rows bigint")
+    lines = spark.read.text(list(paths)).select(file_name().alias("source"), "value")
+    broken = lines.where((F.trim("value") != "") & F.try_parse_json("value").isNull())
+    return broken.groupBy("source").agg(F.count("*").alias("broken_rows")).select(
+        F.lit(batch_id).alias("batch_id"), "source", "broken_rows"
+    )
+
+
 def read_feedback(
     spark: SparkSession,
     paths: Sequence[str],
     fmt: str = "csv",
     batch_id: str = "lot",
     header: str | bool = "auto",
+    multi_line: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """Usable texts of a lot of files with one header, and the detected column per file.
+    """Usable texts of a lot of files, and per file the detected column and its broken rows.
 
     With ``header='auto'`` a CSV file without any usable text below its first row is read
     again with that row as data.
     """
     with_header = header is not False
-    cells = read_cells(spark, paths, fmt, batch_id, with_header)
+    cells = read_cells(spark, paths, fmt, batch_id, with_header, multi_line)
     by = ["batch_id", "source"]
     columns = [c for c in cells.columns if c not in (*by, "row_no")]
-    detected = settled(detect_text_column(cells, by, columns))
+    broken = broken_rows(spark, paths, fmt, batch_id)
+    detected = settled(
+        detect_text_column(cells, by, columns).join(broken, by, "full_outer")
+        .fillna(0, ["n_texts", "broken_rows"])
+    )
     texts = pick_text(cells, detected, by, keep=["row_no"])
     if fmt != "csv" or header != "auto":
         return texts, detected
-    bare = read_cells(spark, paths, fmt, batch_id, header=False)
+    bare = read_cells(spark, paths, fmt, batch_id, header=False, multi_line=multi_line)
     unnamed = [c for c in bare.columns if c not in (*by, "row_no")]
     # A file with a header line only has no row in the first read at all.
     found = detected.where(F.col("column_detected").isNotNull()).select(*by)
-    rest = settled(detect_text_column(bare, by, unnamed).join(found, by, "left_anti"))
+    again = detect_text_column(bare, by, unnamed).join(found, by, "left_anti")
+    rest = settled(again.withColumn("broken_rows", F.lit(0).cast("bigint")))
     if rest.isEmpty():
         return texts, detected
     more = pick_text(bare, rest, by, keep=["row_no"])
@@ -143,7 +222,9 @@ def write_results(
     """
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
-        writer = writer.option("header", "true").option("quoteAll", "true").option("escape", '"')
+        writer = writer.options(
+            header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        )
     writer.partitionBy(*partition_by).format(fmt).save(path)
 
 
