@@ -90,6 +90,18 @@ def test_rewrite_with_batches_and_fallback(spark):
     assert (passed["text_optimized"], passed["optimize_method"]) == ("hola pago", "passthrough")
 
 
+def test_only_the_texts_that_fail_alone_fall_back(spark):
+    def picky(texts):
+        if any("mal" in t for t in texts):
+            raise ValueError("no")
+        return [t.upper() for t in texts]
+
+    rows = spark.createDataFrame([(i, "mal pago" if i == 7 else f"texto {i}") for i in range(20)], "id int, text string")
+    done = {r.id: (r.text_optimized, r.optimize_method) for r in rewrite_with(rows.coalesce(1), "text", picky).collect()}
+    assert done.pop(7) == ("mal payment", "dictionary")
+    assert done == {i: (f"TEXTO {i}", "ctranslate2") for i in range(20) if i != 7}
+
+
 def test_native_tokens(spark):
     rows = spark.createDataFrame([("La app, 12345!",), ("",), (None,)], "text string")
     assert [r.n for r in with_tokens(rows, "text", "n").collect()] == [6, 0, 0]

@@ -27,4 +27,6 @@ def test_routes_hold_each_report_once_even_after_a_restart(spark, small, tmp_pat
     assert rows(tracked) == rows(reports.tracker_rows(batch))
     alerts = spark.read.parquet(tables["alerts"])
     assert alerts.count() == batch.where("severidad = 'critica'").count()
+    refused = spark.read.parquet(tables["rejected"])
+    assert refused.count() == inputs.reports(spark, small).count() - batch.count() > 0
     assert spark.read.parquet(tables["outbox"]).count() == batch.where("email like '%@%'").count()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from textlots.functions.numbers import at_least_one, cost_usd, round_even, share_pct, truncate
 from textlots.functions.rules import rule_attr
+from textlots.operators.rewrite import METHOD_LABELS
 from textlots.operators.tokens import MODE
 from textlots.packs import Pack
 from textlots.packs.prices import DAILY_VOLUME, MONTH_DAYS, PRICE_PER_MILLION, PRICES
@@ -84,6 +85,20 @@ def lot_core(totals: DataFrame) -> DataFrame:
     )
 
 
+def lot_record(
+    core: DataFrame, domain: str, method: str = "dictionary", dedup_method: str = "exact"
+) -> DataFrame:
+    """Headline figures with what they were made by: rewrite method and label, dedup, domain."""
+    used = F.when(F.col("optimize_tokens"), method).otherwise("none")
+    labels = F.create_map(*[F.lit(part) for pair in METHOD_LABELS.items() for part in pair])
+    return core.withColumns({
+        "optimize_method": used,
+        "optimize_method_label": labels[used],
+        "dedup_method": F.lit(dedup_method),
+        "domain": F.lit(domain),
+    })
+
+
 def _averages() -> tuple[Column, Column]:
     items = at_least_one(F.col("item_count")).cast("double")
     return F.col("tokens_original") / items, F.col("tokens_optimized") / items

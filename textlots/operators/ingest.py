@@ -31,6 +31,11 @@ def with_junk_reason(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, clean(F.col(text))).withColumn("junk_reason", junk_reason(F.col(text)))
 
 
+def junk_rows(df: DataFrame, text: str = "text") -> DataFrame:
+    """The cells that a lot leaves out, cleaned, with the reason."""
+    return with_junk_reason(df, text).where(F.col("junk_reason").isNotNull())
+
+
 def usable(cell: Column) -> Column:
     return junk_reason(cell).isNull()
 

@@ -49,6 +49,11 @@ def validate_reports(df: DataFrame) -> DataFrame:
     )
 
 
+def rejected_reports(df: DataFrame) -> DataFrame:
+    """The reports that validation refuses, with the reason."""
+    return validate_reports(df).where(F.col("reject_reason").isNotNull())
+
+
 def triage(df: DataFrame, pack: str = "full", text: str = "mensaje") -> DataFrame:
     """Add severity, module, summary and the stripped text."""
     critical, low, modules = lists.PACKS[pack]

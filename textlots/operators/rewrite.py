@@ -30,24 +30,30 @@ def rewrite_with(
 ) -> DataFrame:
     """Rewrite a column with a function over batches of texts; adds ``optimize_method``.
 
-    Blank texts stay, an empty answer keeps the source, and a batch that fails is left to
-    the dictionary (or passed through). Run it on canonical rows.
+    Blank texts stay, an empty answer keeps the source. A batch that fails is tried again in
+    halves, down to single texts; only the texts that fail alone are left to the dictionary
+    (or passed through), and ``optimize_method`` tells them apart. Run it on canonical rows.
     """
 
+    def answered(texts: list[str]) -> list[str | None]:
+        try:
+            answers = list(batch_fn(texts)) if texts else []
+            if len(answers) != len(texts):
+                raise ValueError("one answer per text is needed")
+            return [a if a and a.strip() else s for a, s in zip(answers, texts)]
+        except Exception:
+            if len(texts) == 1:
+                return [None]
+            middle = len(texts) // 2
+            return answered(texts[:middle]) + answered(texts[middle:])
+
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for sources in batches:
             todo = sources[sources.notna()]
             result = pd.Series([None] * len(sources), index=sources.index, dtype=object)
-            try:
-                answers = list(batch_fn(todo.tolist())) if len(todo) else []
-                if len(answers) != len(todo):
-                    raise ValueError("one answer per text is needed")
-                kept = [a if a and a.strip() else s for a, s in zip(answers, todo)]
-                result.loc[todo.index] = kept
-            except Exception:
-                # A failed batch is marked by nulls; the plan then takes the fallback.
-                result.loc[:] = None
+            # A text that failed is marked by a null; the plan then takes the fallback.
+            result.loc[todo.index] = answered(todo.tolist())
             yield result
 
     source = F.nullif(strip(F.col(text)), F.lit(""))

@@ -693,7 +693,15 @@ FROM counted LEFT JOIN used USING (batch_id)""",
         "report_routes": f"""WITH {TRIAGED}
 SELECT 'tracker' AS route, report_id FROM triaged
 UNION ALL SELECT 'alerts', report_id FROM triaged WHERE severidad = 'critica'
-UNION ALL SELECT 'outbox', report_id FROM triaged WHERE contains(email, '@')""",
+UNION ALL SELECT 'outbox', report_id FROM triaged WHERE contains(email, '@')
+UNION ALL SELECT 'rejected', report_id FROM checked WHERE reject_reason IS NOT NULL""",
+        "rejected_reports": f"""WITH {VALID}
+SELECT report_id, mensaje, reject_reason FROM checked WHERE reject_reason IS NOT NULL""",
+        "junk_rows": f"""SELECT conv_id, turn, c AS text, {junk("c")} AS junk_reason
+FROM (SELECT conv_id, turn, {clean("text")} AS c FROM conversations) WHERE {junk("c")} IS NOT NULL""",
+        "lot_record": f"""WITH {totals()}, {core()}
+SELECT *, 'dictionary' AS optimize_method, 'Fallback diccionario (motor CT2 no disponible)' AS optimize_method_label,
+  'exact' AS dedup_method, 'reviews' AS domain FROM core""",
         "tracker_rows": f"""WITH {TRIAGED}
 SELECT report_id, timestamp AS fecha, severidad, modulo_probable AS modulo, resumen, texto_original, source
 FROM triaged""",

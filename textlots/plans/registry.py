@@ -126,6 +126,11 @@ def junk_filter(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def junk_rows(spark: SparkSession, d: str) -> DataFrame:
+    turns = inputs.table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return ingest.junk_rows(turns).select("conv_id", "turn", "text", "junk_reason")
+
+
 def header_like(spark: SparkSession, d: str) -> DataFrame:
     cells = inputs.cells(spark, d).select("source", tx.clean(F.col("cell")).alias("cell"))
     return cells.groupBy("source", tx.header_like(F.col("cell")).alias("header_like")).agg(
@@ -139,6 +144,10 @@ def report_validate(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def rejected_reports(spark: SparkSession, d: str) -> DataFrame:
+    return reports.rejected_reports(inputs.reports(spark, d)).select("report_id", "mensaje", "reject_reason")
+
+
 def scenario_check(spark: SparkSession, d: str) -> DataFrame:
     checked = costs.validate_scenarios(inputs.scenarios(_totals(spark, d)))
     return checked.select("scenario_id", "reject_reason")
@@ -320,6 +329,10 @@ def lot_core(spark: SparkSession, d: str) -> DataFrame:
     return costs.lot_core(_totals(spark, d))
 
 
+def lot_record(spark: SparkSession, d: str) -> DataFrame:
+    return costs.lot_record(costs.lot_core(_totals(spark, d)), REVIEWS.domain)
+
+
 def lot_core_off(spark: SparkSession, d: str) -> DataFrame:
     canon = _canon(spark, d, optimize=False)
     return costs.lot_core(costs.lot_totals(canon, optimize=False))
@@ -425,8 +438,10 @@ QUERIES: dict[str, Query] = {
     "lot_summary": lot_summary,
     "results_preview": results_preview,
     "junk_filter": junk_filter,
+    "junk_rows": junk_rows,
     "header_like": header_like,
     "report_validate": report_validate,
+    "rejected_reports": rejected_reports,
     "scenario_check": scenario_check,
     "exact_dedup": exact_dedup,
     "dedup_stats": dedup_stats,
@@ -455,6 +470,7 @@ QUERIES: dict[str, Query] = {
     "report_triage_compact": _triaged("compact"),
     "lot_core": lot_core,
     "lot_core_off": lot_core_off,
+    "lot_record": lot_record,
     "multi_model_costs": multi_model_costs,
     "model_compare": model_compare,
     "lot_batch": lot_batch,

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from textlots.operators.reports import alert_text, compose_reply, submit, tracker_rows
+from textlots.operators.reports import alert_text, compose_reply, rejected_reports, submit, tracker_rows
 
-ROUTES = ("alerts", "tracker", "outbox")
+ROUTES = ("alerts", "tracker", "outbox", "rejected")
 
 
 def report_stream(reports: DataFrame, source: str = "web") -> DataFrame:
@@ -36,24 +36,27 @@ def start_routes(
     brand: str = "Soporte",
     source: str = "web",
     available_now: bool = False,
-    interval: str = "10 seconds",
+    interval: str = "5 minutes",
 ) -> StreamingQuery:
-    """Start the routing job. ``tables`` maps alerts, tracker and outbox to folders.
+    """Start the routing job. ``tables`` maps alerts, tracker, outbox and rejected to folders.
 
     A micro-batch replaces its own ``epoch`` folder in each table, so that a batch that is
-    run again after a failure leaves no row twice.
+    run again after a failure leaves no row twice. Refused reports go to ``rejected`` with
+    their reason. Every trigger leaves a file per table: keep the interval long, or rewrite
+    the folders of past epochs into one from time to time, while the job is stopped.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.persist()
         try:
+            good = report_stream(batch, source)
             for name in ROUTES:
-                rows = route(batch, name, brand)
+                rows = rejected_reports(batch) if name == "rejected" else route(good, name, brand)
                 rows.write.mode("overwrite").parquet(f"{tables[name]}/epoch={epoch}")
         finally:
             batch.unpersist()
 
-    writer = report_stream(reports, source).writeStream.foreachBatch(write)
+    writer = reports.writeStream.foreachBatch(write)
     writer = writer.option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     return writer.trigger(**trigger).start()
