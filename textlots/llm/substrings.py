@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
+from zstandard import ZstdCompressor, ZstdDecompressor
 
 from textlots.llm.common import keyed, on_key, slices, text_bytes
 
@@ -103,14 +104,14 @@ def _bin_maps(docs: DataFrame, window: int, bins: int, crowded: int) -> tuple[np
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                found = np.sort(_bins_of(_Slice(text_bytes(part.column("text")), window).key, bins))
-                segments, starts = np.unique(found // SEGMENT, return_index=True)
-                inside = np.split((found % SEGMENT).astype("<u2"), starts[1:])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(segments, pa.int32()), pa.array([p.tobytes() for p in inside[: len(segments)]], pa.binary())],
-                    ["segment", "places"],
-                )
+            each = [_Slice(text_bytes(part.column("text")), window).key for part in slices(batch)]
+            found = np.sort(_bins_of(np.concatenate([np.zeros(0, dtype=np.uint64), *each]), bins))
+            segments, starts = np.unique(found // SEGMENT, return_index=True)
+            inside = np.split((found % SEGMENT).astype("<u2"), starts[1:])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(segments, pa.int32()), pa.array([p.tobytes() for p in inside[: len(segments)]], pa.binary())],
+                ["segment", "places"],
+            )
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, counts = None, np.zeros(SEGMENT, dtype=np.int64)
@@ -307,17 +308,32 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, **how: int) -> DataFr
     spans = repeated_spans(docs, window, **how).groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans")
     )
-    rows = on_key(keyed(docs), spans)
-    flat = rows.select(
+    texts = keyed(docs)
+    id_type = texts.schema["doc_id"].dataType.simpleString()
+
+    def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = ZstdCompressor(level=3).compress
+        for batch in batches:
+            for part in slices(batch):
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("text_hash"),
+                     pa.array([squeeze(text) for text in text_bytes(part.column("text"))], pa.binary())],
+                    ["doc_id", "text_hash", "text"],
+                )
+
+    # Texts meet their spans compressed, which is better than what the shuffle does to rows.
+    packed = texts.mapInArrow(squeezed, f"doc_id {id_type}, text_hash bigint, text binary")
+    flat = on_key(packed, spans).select(
         "doc_id", "text", F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends")
     )
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = ZstdDecompressor().decompress
         for batch in batches:
             for part in slices(batch):
                 made = []
                 for text, begins, ends in zip(
-                    text_bytes(part.column("text")), part.column("begins").to_pylist(), part.column("ends").to_pylist()
+                    map(expand, part.column("text").to_pylist()), part.column("begins").to_pylist(), part.column("ends").to_pylist()
                 ):
                     words, kept, at = text.split(), [], 0
                     for begin, end in zip(begins or (), ends or ()):
@@ -331,7 +347,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, **how: int) -> DataFr
                     [part.column("doc_id"), *columns], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
                 )
 
-    id_type = rows.schema["doc_id"].dataType.simpleString()
     return flat.mapInArrow(
         cleaned, f"doc_id {id_type}, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
     )
