@@ -152,6 +152,16 @@ def test_model_answers(spark):
     assert got["m9"] == ("media", none, "{'severidad':'baja'}", "m9")
 
 
+def test_triage_answers_in_other_places(spark):
+    rows = [("m1", None, ('{"severidad":"baja","modulo_probable":"X"}',), "web"), ("m2", "", ('{"severidad":"baja"}',), "app")]
+    df = spark.createDataFrame(rows, "mensaje string, response string, message struct<content:string>, source string")
+    got = {r.mensaje: (r.severidad, r.modulo_probable, r.source) for r in reports.parse_triage(df).collect()}
+    assert got == {"m1": ("baja", "X", "web"), "m2": ("media", lists.UNCLASSIFIED, "app")}
+    object_answer = spark.createDataFrame([("m", ("alta", None))], "mensaje string, response struct<severidad:string,resumen:string>")
+    row = reports.parse_triage(object_answer).first()
+    assert (row.severidad, row.resumen, row.via) == ("alta", "", "ollama")
+
+
 def test_playbook_and_reply(spark):
     rows = [
         (1, "Interfaz (UI)", "critica", "A@b.c", "no abre"),

@@ -111,12 +111,24 @@ def iso_now() -> Column:
     return iso(F.current_timestamp())
 
 
+def _json_text(df: DataFrame, name: str, column: Column | None = None) -> Column:
+    """A string column as it is, an object as its JSON text."""
+    column = F.col(name) if column is None else column
+    return F.to_json(column) if df.schema[name].dataType.typeName() in ("struct", "map", "variant") else column
+
+
 def parse_triage(df: DataFrame, col: str = "response") -> DataFrame:
     """Read a model's JSON answer; broken JSON and missing fields get defaults.
 
-    Needs ``mensaje``, the text that was sent.
+    Needs ``mensaje``, the text that was sent. Where the answer is null, ``message.content``
+    is read, if the table has it. An answer that is an object already is taken as it is.
+    All given columns stay, so the context of a report (source, timestamp) is kept.
     """
-    raw = F.coalesce(F.col(col), F.lit(""))
+    given = [_json_text(df, col)]
+    message_type = dict(df.dtypes).get("message", "")
+    if message_type.startswith("struct") and "content" in df.schema["message"].dataType.names:
+        given.append(_json_text(df.select("message.content"), "content", F.col("message.content")))
+    raw = F.coalesce(*given, F.lit(""))
     parsed = df.withColumn("_json", F.try_parse_json(raw))
     # The parser stops after the first value; a value with anything behind it does not
     # survive being put inside both an array and an object.

@@ -180,10 +180,13 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 4, F.lit("[1, 2]"))
         .otherwise(F.lit(""))
     )
+    # Some services answer in ``response``, others in ``message.content``.
+    other = F.col("conv_id") % 3 == 0
     return turns.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("report_id"),
         text.alias("mensaje"),
-        answer.alias("response"),
+        F.when(~other, answer).alias("response"),
+        F.struct(F.when(other, answer).alias("content")).alias("message"),
     )
 
 

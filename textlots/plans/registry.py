@@ -269,7 +269,7 @@ def report_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def triage_json(spark: SparkSession, d: str) -> DataFrame:
-    return reports.parse_triage(inputs.model_answers(spark, d)).drop("response", "mensaje")
+    return reports.parse_triage(inputs.model_answers(spark, d)).drop("response", "message", "mensaje")
 
 
 def html_escape(spark: SparkSession, d: str) -> DataFrame:
