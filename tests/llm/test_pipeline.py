@@ -7,9 +7,8 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import pytest
-import xxhash
 from test_quality import base
-from test_simhash import roots
+from test_simhash import fingerprint, roots
 
 from textlots.llm import quality
 from textlots.llm.common import stored
@@ -19,13 +18,6 @@ def n_words(text):
     return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
 
 
-def fingerprint(text):
-    words = (text or "").encode().lower().split()
-    parts = [b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
-    hashes = [xxhash.xxh64_intdigest(p, seed=42) for p in parts]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
 def plain_words(text):
     lowered = (text or "").translate({c: c + 32 for c in range(65, 91)})
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
