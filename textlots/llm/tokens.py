@@ -62,14 +62,32 @@ def counted_parts(parts: DataFrame, path: str) -> DataFrame:
     return parts.mapInArrow(work, "part string, n bigint, tokens bigint")
 
 
+def common_parts(parts: DataFrame, common: int) -> pa.Table:
+    """(part, tokens) of the most frequent short parts, ``common`` rows at most.
+
+    Parts are chosen by steps of their frequency, so nothing is sorted.
+    """
+    short = parts.where(F.length("part") <= COMMON_CHARS)
+    step = F.floor(F.log2("n") * 16).cast("int")
+    steps = short.groupBy(step.alias("step")).agg(F.count("*").alias("parts")).collect()
+    least, total = None, 0
+    for row in sorted(steps, reverse=True):
+        total += row.parts
+        if total > common:
+            break
+        least = row.step
+    chosen = short.where(step >= least) if least is not None else short.limit(0)
+    return chosen.select("part", "tokens").toArrow()
+
+
 def token_counts(docs: DataFrame, path: str, common: int = COMMON) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every document, for the tokenizer file at ``path``."""
     rows = keyed(docs)
     parts = stored(counted_parts(distinct_parts(docs), path), "pretokens")
-    frequent = (
-        parts.where(F.length("part") <= COMMON_CHARS).orderBy(F.desc("n"), "part").limit(common).select("part", "tokens")
+    frequent = common_parts(parts, common)
+    known = docs.sparkSession.sparkContext.broadcast(
+        dict(zip(frequent.column("part").to_pylist(), frequent.column("tokens").to_pylist()))
     )
-    known = docs.sparkSession.sparkContext.broadcast({part: tokens for part, tokens in frequent.collect()})
     kind = rows.schema["doc_id"].dataType
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
