@@ -20,10 +20,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = settled(_directed(edges))
     for _ in range(MAX_ROUNDS):
         large = _linked(edges.unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), larger=True)
-        small = settled(_linked(large, larger=False))
-        changed = small.exceptAll(edges).limit(1).count() + edges.exceptAll(small).limit(1).count()
-        edges = small
-        if not changed:
+        edges = settled(_linked(large, larger=False))
+        if _all_stars(edges):
             break
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
@@ -32,6 +30,15 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root, and no root on another node."""
+    sides = edges.select(F.col("src").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(
+        edges.select("dst", F.lit(0), F.lit(1))
+    )
+    nodes = sides.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
+
+
 def _directed(edges: DataFrame) -> DataFrame:
     """Distinct edges from the larger to the smaller node."""
     return edges.where("src <> dst").select(
