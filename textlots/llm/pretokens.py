@@ -11,11 +11,25 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 _SPACES = re.compile(r"(?= \S)")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-_WORD = re.compile(r"[ \n]?[A-Za-z]+")
+# One word of Latin letters, with what may stand around it: three pre-tokens at most.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_PLAIN = re.compile(f"([ \\n]?)([{_LATIN}]+)([.,;:!?]?)")
+
+
+def _byte_signs() -> list[str]:
+    """The character that stands for each byte: itself if it is visible, else one from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(byte if byte in visible else next(others)) for byte in range(256)]
+
+
+_SIGNS = _byte_signs()
 
 
 def cut(text: str) -> list[str]:
@@ -63,20 +77,74 @@ class Encoder:
             raise ValueError(f"{path} truncates or pads")
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        # An added token of letters only would have to be found inside a lone word.
-        self.direct = not any(re.search(r"^[A-Za-z]+$", t["content"]) for t in special)
+        self.signs: dict[str, list[int]] = {}
+        # An added token that looks like a plain part would have to be found inside it.
+        self.direct = not any(_PLAIN.search(t["content"]) and not re.search(f"[^{_LATIN} .,;:!?]", t["content"]) for t in special)
+
+    def _model_ids(self, text: str) -> list[int]:
+        if text.isascii():
+            mapped = "Ġ" + text[1:] if text[0] == " " else text
+        else:
+            mapped = "".join([_SIGNS[byte] for byte in text.encode()])
+        return [token.id for token in self.model.tokenize(mapped)]
+
+    def _sign(self, sign: str) -> list[int]:
+        if sign not in self.signs:
+            self.signs[sign] = self.tokenizer.encode(sign, add_special_tokens=False).ids
+        return self.signs[sign]
 
     def ids(self, part: str) -> list[int]:
         text = part_text(part)
-        if self.direct and text[0] == " " and _WORD.fullmatch(text):
-            return [token.id for token in self.model.tokenize("Ġ" + text[1:])]
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        plain = _PLAIN.fullmatch(text) if self.direct else None
+        if not plain:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        before, word, after = plain.groups()
+        if before == " ":
+            found = self._model_ids(" " + word)
+        else:
+            found = self._model_ids(word)
+            if before:
+                found = self._sign(before) + found
+        return found + self._sign(after) if after else found
 
     def count(self, part: str) -> int:
-        text = part_text(part)
-        if self.direct and text[0] == " " and _WORD.fullmatch(text):
-            return len(self.model.tokenize("Ġ" + text[1:]))
-        return len(self.tokenizer.encode(text, add_special_tokens=False))
+        return len(self.ids(part))
+
+
+class Payloads(dict):
+    """Little-endian unsigned 32-bit ids of parts, encoded when first asked for.
+
+    Lives as long as its worker process, over tasks. Once full it becomes the older
+    generation of a new one, which takes over what is still in use.
+    """
+
+    def __init__(self, encoder: Encoder, older: dict[str, bytes]):
+        super().__init__()
+        self.encoder, self.older = encoder, older
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.older.get(part)
+        if found is None:
+            ids = array("I", self.encoder.ids(part))
+            if sys.byteorder != "little":
+                ids.byteswap()
+            found = ids.tobytes()
+        self[part] = found
+        return found
+
+
+@lru_cache(maxsize=4)
+def _payloads(path: str) -> list[Payloads]:
+    return [Payloads(encoder(path), {})]
+
+
+def payloads(path: str, remembered: int) -> Payloads:
+    """The payloads of this worker process, at most about twice ``remembered`` parts."""
+    held = _payloads(path)
+    if len(held[0]) > remembered:
+        held[0].older = {}
+        held[0] = Payloads(encoder(path), dict(held[0]))
+    return held[0]
 
 
 @lru_cache(maxsize=4)

@@ -33,8 +33,8 @@ END_ID = 0
 # A segment ends after this many ids or documents; one long document may exceed the former.
 SEGMENT_IDS = 1 << 20
 SEGMENT_DOCS = 1 << 15
-# Distinct parts whose ids a task remembers.
-REMEMBERED = 500_000
+# Distinct parts whose ids a worker process remembers, in each of two generations.
+REMEMBERED = 400_000
 
 BUCKET_KEYS = 4
 EMPTY_KEY = -1
@@ -142,15 +142,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = pretokens.encoder(tokenizer_path)
         shard = TaskContext.get().partitionId()
-        known: dict[str, bytes] = {}
-
-        def ids(part: str) -> bytes:
-            found = known.get(part)
-            if found is None:
-                found = known[part] = np.array(encoder.ids(part), dtype="<u4").tobytes()
-            return found
 
         def closed() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([_segment(shard, number, doc_ids, payloads)], schema)
@@ -158,8 +150,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         number, size, doc_ids, payloads = 0, 0, [], []
         for batch in batches:
             for part in slices(batch):
-                if len(known) > REMEMBERED:
-                    known.clear()
+                ids = pretokens.payloads(tokenizer_path, REMEMBERED).__getitem__
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     payload = b"".join([*map(ids, pretokens.cut(text or "")), end])
                     doc_ids.append(doc_id)
