@@ -200,8 +200,12 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKE
     Of rows with that same id in one component the one with the smallest text hash stays; of
     rows equal in both, one. Null ids come last.
     """
-    rows = near_duplicates(docs, shingle, bucket)
+    return one_of_each(docs, near_duplicates(docs, shingle, bucket), "fingerprint")
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, *finer: str) -> DataFrame:
+    """The documents that stay of the components (``root``) of ``rows``, by smallest id and text hash."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("best")
     # One row per fingerprint first, so that a crowded component shuffles few rows.
-    kept = rows.groupBy("root", "fingerprint").agg(best).groupBy("root").agg(F.min("best").alias("best"))
+    kept = rows.groupBy("root", *finer).agg(best).groupBy("root").agg(F.min("best").alias("best"))
     return one_row_each(docs, settled(kept.select("best.doc_id", "best.text_hash")))
