@@ -4,13 +4,18 @@ Quality rules drop documents, near duplicates leave one of each group, documents
 benchmark windows go, the mix takes documents as often as their source's target asks for,
 and every row of the mix gets its shard. All stages but the last return the columns of
 their input.
+
+Defined results of every stage: a null text counts as empty, so the quality rules reject it;
+a null id is an id like any other, and rows that repeat an id are told apart by their texts;
+texts are read whole, whatever their length; rows equal in id and text are one document to
+the near duplicates; extra columns pass through under any name; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textlots.llm import decontaminate, jaccard, mixing, quality, sharding
+from textlots.llm import decontaminate, mixing, quality, sharding, simhash
 from textlots.llm.common import documents, settled, stored, table
 from textlots.session import work_dir
 
@@ -21,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
-    return jaccard.representatives(docs)
+    """One document of each group of near copies: three-word SimHash fingerprints that at most two bits part."""
+    return simhash.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +55,7 @@ STAGES = [
     ("sharding", shards),
 ]
 
-# Shingle similarity, hashed likelihoods and balanced sampling have no SQL counterpart.
+# Linked fingerprints, hashed likelihoods and balanced sampling have no SQL counterpart.
 ORACLE_SQL = None
 
 
