@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlots.llm import decontaminate, language, mixing, pii, quality, sharding, simhash, substrings, token_files, tokens
+from textlots.llm import (
+    decontaminate, divergence, language, licenses, mixing, pii, quality, sharding, simhash, sql, substrings, token_files,
+    tokens, vector_codes,
+)
 from textlots.llm.common import documents, settled, table
 from textlots.session import work_dir
 
@@ -96,6 +99,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, sf_dir))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
@@ -107,6 +122,9 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_language": op9_language,
     "op10_mixing": op10_mixing,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_licenses": op12_licenses,
+    "op13_divergence": op13_divergence,
 }
 
 SQL = {
@@ -157,4 +175,7 @@ kept AS (
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
 FROM docs LEFT JOIN kept USING (doc_id)
 """,
+    "op11_vector_codes": sql.vector_codes_sql(),
+    "op12_licenses": sql.license_sql(),
+    "op13_divergence": sql.divergence_sql(),
 }
