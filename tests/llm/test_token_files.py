@@ -63,3 +63,36 @@ def test_index_is_minimal_and_perfect(n):
     hashes = token_files.key_hashes(ids)
     slots = token_files.find_slots(hashes, token_files.build_index(hashes), n)
     assert sorted(slots.tolist()) == list(range(n))
+
+
+def test_remembered_parts_keep_their_ids():
+    from textlots.llm import pretokens
+
+    held = pretokens.payloads(FILE, 10**9)
+    texts = ["one two, three. one two three", "\n", "a\nb c", " x  y", "naïve Ünï, cödé! don't 漢字\nx", "x, x; x x! x:", "foo### *** bar%%%, it's 'tis x'y a<|endoftext|>b <|endoftext|> ñ### Ñandú. \nÑandú \nfoo# a_b x_",
+             "--- |> <| ## '' \n## \n... don't, o'clock!"]
+    for text in [*texts, *texts]:
+        assert b"".join(held[part] for part in pretokens.cut(text)) == np.array(token_ids(text)[:-1], "<u4").tobytes()
+
+
+def test_keyed_access_uses_the_index_alone(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SEGMENT_DOCS", 5)
+    docs = spark.createDataFrame(
+        [(i // 2, f"text number {i}") for i in range(40)] + [(None, "no id"), (500, None)], "doc_id long, text string"
+    )
+    folder = written(docs)
+    # Files whose id lists are gone still answer by key.
+    bare = work_dir(spark, "bare")
+    token_files.read_segments(spark, folder).withColumn("doc_ids", token_files.F.lit(None).cast("array<bigint>")).write.parquet(bare)
+    found = token_files.read_documents(spark, bare, [0, 7, 7, 19, 20, 500, -3]).collect()
+    assert sorted(r.doc_id for r in found) == [0, 0, 7, 7, 19, 19, 500]
+    assert {tuple(r.ids) for r in found if r.doc_id == 7} == {
+        tuple(token_ids(f"text number {i}")) for i in (14, 15)
+    }
+    assert token_files.read_documents(spark, bare, []).collect() == []
+
+
+def token_ids(text):
+    from tokenizers import Tokenizer
+
+    return [*Tokenizer.from_file(FILE).encode(text, add_special_tokens=False).ids, 0]

@@ -11,12 +11,17 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import sys
 from array import array
 from functools import lru_cache
+from operator import attrgetter
 
 _SPACES = re.compile(r"(?= \S)")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+# Signs that count as white space, beside the space and the line break.
+_OTHER_SPACES = [chr(code) for code in range(sys.maxunicode + 1) if chr(code).isspace() and chr(code) not in " \n"]
+# Signs that make pre-tokens of their own behind a word; an apostrophe may begin a contraction.
+_ENDS = "".join(sign for sign in string.punctuation if sign != "'")
 # One word of Latin letters, with what may stand around it: three pre-tokens at most.
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PLAIN = re.compile(f"([ \\n]?)([{_LATIN}]+)([.,;:!?]?)")
@@ -30,6 +35,14 @@ def _byte_signs() -> list[str]:
 
 
 _SIGNS = _byte_signs()
+_ID = attrgetter("id")
+
+
+def _payload(ids) -> bytes:
+    made = array("I", ids)
+    if sys.byteorder != "little":
+        made.byteswap()
+    return made.tobytes()
 
 
 def cut(text: str) -> list[str]:
@@ -40,7 +53,7 @@ def cut(text: str) -> list[str]:
     """
     if (
         "  " in text or "\n\n" in text or " \n" in text or "\n " in text
-        or text[:1] in (" ", "\n", "\t") or text[-1:] in (" ", "\n") or _OTHER_SPACE.search(text)
+        or text[:1] in (" ", "\n", "\t") or text[-1:] in (" ", "\n") or any(space in text for space in _OTHER_SPACES)
     ):
         return [part[1:] if part[0] == " " and part[1:2] not in ("\t", "\n") else "\t" + part
                 for part in _SPACES.split(text) if part]
@@ -78,15 +91,16 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.signs: dict[str, list[int]] = {}
-        # An added token that looks like a plain part would have to be found inside it.
-        self.direct = not any(_PLAIN.search(t["content"]) and not re.search(f"[^{_LATIN} .,;:!?]", t["content"]) for t in special)
+        # An added token that is a word, signs, or a word with signs behind it would have to be found inside such parts.
+        inside = re.compile(f"[{_LATIN}]*[{re.escape(_ENDS)}]*")
+        self.direct = not any(inside.fullmatch(t["content"]) for t in special)
 
     def _model_ids(self, text: str) -> list[int]:
         if text.isascii():
             mapped = "Ġ" + text[1:] if text[0] == " " else text
         else:
             mapped = "".join([_SIGNS[byte] for byte in text.encode()])
-        return [token.id for token in self.model.tokenize(mapped)]
+        return list(map(_ID, self.model.tokenize(mapped)))
 
     def _sign(self, sign: str) -> list[int]:
         if sign not in self.signs:
@@ -115,27 +129,47 @@ class Payloads(dict):
     """Little-endian unsigned 32-bit ids of parts, encoded when first asked for.
 
     Lives as long as its worker process, over tasks. Once full it becomes the older
-    generation of a new one, which takes over what is still in use.
+    generation of a new one, which takes over what is still in use. Words of A-Z and a-z,
+    with a line break before them or a sign behind, go to the model without further tests.
     """
 
-    def __init__(self, encoder: Encoder, older: dict[str, bytes]):
+    def __init__(self, encoder: Encoder, older: dict[str, bytes] | None = None):
         super().__init__()
-        self.encoder, self.older = encoder, older
+        self.encoder, self.older = encoder, older or {}
 
     def __missing__(self, part: str) -> bytes:
         found = self.older.get(part)
         if found is None:
-            ids = array("I", self.encoder.ids(part))
-            if sys.byteorder != "little":
-                ids.byteswap()
-            found = ids.tobytes()
+            found = self._encoded(part)
         self[part] = found
         return found
 
+    def _encoded(self, part: str) -> bytes:
+        if self.encoder.direct:
+            if part.isascii():
+                if part.isalpha():
+                    return self._model("Ġ" + part)
+                word = part.rstrip(_ENDS)
+                if word != part and word.isalpha():
+                    return self[word] + self["\t" + part[len(word) :]]
+                if part[0] in "\t\n" and part[1:].isalpha():
+                    word = self._model(part[1:])
+                    return word if part[0] == "\t" else self["\t\n"] + word
+            elif plain := _PLAIN.fullmatch(part):
+                before, word, sign = plain.groups()
+                if sign:
+                    return self[before + word] + self["\t" + sign]
+                if not before:
+                    return _payload(self.encoder._model_ids(" " + word))
+        return _payload(self.encoder.ids(part))
+
+    def _model(self, mapped: str) -> bytes:
+        return _payload(map(_ID, self.encoder.model.tokenize(mapped)))
+
 
 @lru_cache(maxsize=4)
 def _payloads(path: str) -> list[Payloads]:
-    return [Payloads(encoder(path), {})]
+    return [Payloads(encoder(path))]
 
 
 def payloads(path: str, remembered: int) -> Payloads:

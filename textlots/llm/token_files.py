@@ -4,6 +4,7 @@ A file set is a Parquet table of segments in ascending key order. A segment hold
 ids of consecutive documents (little-endian unsigned 32-bit numbers, an end id after each
 document) and an index: a minimal perfect hash sends each document key to a slot of its own,
 and the slot stores a fingerprint of the key, where its ids start and how many they are.
+A reader hashes the key it wants, takes the slot, compares the fingerprint and cuts the ids.
 
 The hash is of the hash-and-displace kind: keys fall into buckets of about four; each
 bucket, the largest first, tries pilots until all its keys land in free slots; the only key
@@ -12,11 +13,14 @@ of a bucket takes a free slot directly, so that no slot stays empty.
 Spark writes and commits the files, so a lost executor leaves no half segment behind.
 
 Defined results: a null or empty text is the end id alone; null ids sort first; rows that
-repeat an id are told apart by their place among them (the smaller text hash first).
+repeat an id are told apart by their place among them (the smaller text hash first); a text
+of any length is one document, which may exceed a segment's usual size; an empty table gives
+files without segments; other columns of the input are left behind.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -58,6 +62,10 @@ def key_hashes(doc_ids: list[int | None]) -> np.ndarray:
     for row in range(1, len(doc_ids)):
         if doc_ids[row] == doc_ids[row - 1]:
             place[row] = place[row - 1] + np.uint64(1)
+    return _hashes(known, absent, place)
+
+
+def _hashes(known: np.ndarray, absent: np.ndarray, place: np.ndarray) -> np.ndarray:
     return _mix(_mix(known) + _mix(place * np.uint64(2) + absent + np.uint64(0x9E3779B97F4A7C15)))
 
 
@@ -111,7 +119,8 @@ def find_slots(hashes: np.ndarray, pilots: np.ndarray, n: int) -> np.ndarray:
 
 
 def _fingerprint(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(0xFFFFFFFF)).astype("<u4")
+    """The whole hash, which for documents of the same place among equal ids is one to one."""
+    return hashes.astype("<u8")
 
 
 def _segment(shard: int, number: int, doc_ids: list, payloads: list[bytes]) -> dict:
@@ -119,7 +128,7 @@ def _segment(shard: int, number: int, doc_ids: list, payloads: list[bytes]) -> d
     pilots = build_index(hashes)
     slots = find_slots(hashes, pilots, len(doc_ids))
     sizes = np.array([len(payload) // 4 for payload in payloads], dtype=np.int64)
-    fingerprints = np.zeros(len(doc_ids), dtype="<u4")
+    fingerprints = np.zeros(len(doc_ids), dtype="<u8")
     starts, lengths = np.zeros((2, len(doc_ids)), dtype="<i8")
     fingerprints[slots] = _fingerprint(hashes)
     starts[slots] = np.cumsum(sizes) - sizes
@@ -179,7 +188,7 @@ def _found(segment: dict, rows: np.ndarray) -> list[tuple[int, memoryview]]:
     """(start in the segment, ids) of some documents of a segment, through its index."""
     hashes = key_hashes(segment["doc_ids"])[rows]
     slots = find_slots(hashes, np.frombuffer(segment["pilots"], "<i4"), segment["n_docs"])
-    if (np.frombuffer(segment["fingerprints"], "<u4")[slots] != _fingerprint(hashes)).any():
+    if (np.frombuffer(segment["fingerprints"], "<u8")[slots] != _fingerprint(hashes)).any():
         raise ValueError(f"segment {segment['shard']}/{segment['segment']} does not hold all its keys")
     starts = np.frombuffer(segment["starts"], "<i8")[slots].tolist()
     lengths = np.frombuffer(segment["lengths"], "<i8")[slots].tolist()
@@ -233,25 +242,57 @@ def _bases(segments: DataFrame) -> DataFrame:
     )
 
 
+def _looked_up(segment: dict, wanted: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(doc_id, start, ids) of the wanted documents that a segment holds: hash, slot, fingerprint."""
+    pilots = np.frombuffer(segment["pilots"], "<i4")
+    prints = np.frombuffer(segment["fingerprints"], "<u8")
+    starts, lengths = (np.frombuffer(segment[name], "<i8") for name in ("starts", "lengths"))
+    known, place = np.array(wanted, dtype=np.int64), 0
+    while len(known):
+        # Documents that repeat an id have the places 0, 1, ... under it.
+        hashes = _hashes(known.view(np.uint64), np.zeros(len(known), np.uint64), np.full(len(known), place, np.uint64))
+        slots = find_slots(hashes, pilots, segment["n_docs"])
+        there = prints[slots] == _fingerprint(hashes)
+        known, slots, place = known[there], slots[there], place + 1
+        yield from zip(known.tolist(), starts[slots].tolist(), lengths[slots].tolist())
+
+
 def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """(doc_id, ids) of a stated list of documents; segments outside its range are not read."""
+    """(doc_id, ids) of a stated list of documents, each found in constant time through the indexes.
+
+    Only the indexes of segments whose range holds a wanted id are read; then the ids of the
+    shards in which one was found. The lists of document ids are not looked at.
+    """
     wanted = sorted(set(doc_ids))
     inside = (F.col("last_id") >= min(wanted, default=0)) & (F.col("first_id") <= max(wanted, default=-1))
+    segments = read_segments(spark, path).where(inside)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for segment in _segments(batch):
-                rows = np.flatnonzero(np.isin(np.array([i or 0 for i in segment["doc_ids"]]), wanted))
-                rows = rows[[segment["doc_ids"][row] is not None for row in rows]] if len(rows) else rows
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([segment["doc_ids"][row] for row in rows], pa.int64()),
-                        pa.array(
-                            [np.frombuffer(ids, "<u4").astype(np.int64) for _, ids in _found(segment, rows)],
-                            pa.list_(pa.int64()),
-                        ),
-                    ],
-                    ["doc_id", "ids"],
-                )
+                first = bisect_left(wanted, segment["first_id"])
+                own = wanted[first : bisect_right(wanted, segment["last_id"])]
+                rows = [(segment["shard"], segment["segment"], *row) for row in _looked_up(segment, own)]
+                if rows:
+                    yield pa.RecordBatch.from_pylist([dict(zip(hit.names, row)) for row in rows], hit)
+
+    hit = pa.schema(
+        [("shard", pa.int32()), ("segment", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())]
+    )
+    index = segments.drop("doc_ids", "ids")
+    hits = settled(index.mapInArrow(work, "shard int, segment int, doc_id bigint, start bigint, n bigint"))
+    # No more than one row per wanted document comes back, and no more shards than that.
+    shards = [row.shard for row in hits.select("shard").distinct().collect()]
+    payloads = segments.where(F.col("shard").isin(shards)).select("shard", "segment", "ids")
+    cut = payloads.join(hits, ["shard", "segment"]).select(
+        "doc_id", F.substring("ids", (4 * F.col("start") + 1).cast("int"), (4 * F.col("n")).cast("int")).alias("ids")
+    )
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.frombuffer(ids, "<u4").astype(np.int64) for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "ids"]
+            )
 
-    return read_segments(spark, path).where(inside).mapInArrow(work, "doc_id bigint, ids array<bigint>")
+    return cut.mapInArrow(decoded, "doc_id bigint, ids array<bigint>")
