@@ -108,13 +108,13 @@ def clusters(seed, n, dim=8):
     return vectors.astype(np.float32)
 
 
-@pytest.mark.parametrize("leaders,slice_rows", [(7, 13), (2048, 20_000), (40, 1000)])
-def test_near_dedup_equals_brute_force(spark, leaders, slice_rows):
+@pytest.mark.parametrize("cell_rows,first", [(7, 1), (4096, 8), (25, 3)])
+def test_near_dedup_equals_brute_force(spark, cell_rows, first):
     raw = {"a": clusters(1, 150), "b": clusters(2, 60), "small": clusters(3, 20)}
     rows = [(b, "v", i, [float(x) for x in v]) for b, m in raw.items() for i, v in enumerate(m)]
     df = spark.createDataFrame(rows, "batch_id string, source string, row_no bigint, embedding array<float>")
     got = {}
-    for r in near_dup.vector_dedup(df, leaders=leaders, slice_rows=slice_rows).collect():
+    for r in near_dup.vector_dedup(df, cell_rows=cell_rows, first=first).collect():
         got.setdefault(r.batch_id, {})[r.row_no] = (r.canon_row_no, r.method, r.is_canonical)
     for batch, matrix in raw.items():
         unit = matrix.astype(np.float64)
@@ -132,6 +132,73 @@ def test_near_dedup_chain_keeps_first(spark):
     assert [r.canon_row_no for r in done] == [0, 0, 2]
 
 
+def near_rows(spark, lots):
+    """Kept row per lot and row of {lot: vectors}."""
+    rows = [(b, "v", i, v if v is None else [float(x) for x in v]) for b, m in lots.items() for i, v in enumerate(m)]
+    return spark.createDataFrame(rows, "batch_id string, source string, row_no bigint, embedding array<float>")
+
+
+def kept_rows(df, **how):
+    got = {}
+    for r in near_dup.vector_dedup(df, **how).collect():
+        got.setdefault(r.batch_id, {})[r.row_no] = r.canon_row_no
+    return {lot: [rows[i] for i in range(len(rows))] for lot, rows in got.items()}
+
+
+def expected(matrix):
+    unit = np.asarray(matrix, dtype=np.float32).astype(np.float64)
+    norms = np.linalg.norm(unit, axis=1, keepdims=True)
+    return brute_near(unit / np.where(norms == 0, 1, norms), 0.92)
+
+
+def turned(angles):
+    return np.stack([np.cos(angles), np.sin(angles)], axis=1)
+
+
+def test_near_dedup_of_pairs_chains_and_dense_clusters(spark):
+    rng = np.random.default_rng(5)
+    dense = np.concatenate([rng.normal(size=(3, 6))[rng.integers(3, size=120)] + rng.normal(scale=0.02, size=(120, 6)), rng.normal(size=(30, 6))])
+    lots = {
+        "pairs": np.repeat(rng.normal(size=(40, 8)), 2, axis=0) + rng.normal(scale=0.01, size=(80, 8)),
+        "triples": np.tile(rng.normal(size=(20, 8)), (3, 1)) + rng.normal(scale=0.01, size=(60, 8)),
+        "chain": turned(np.arange(16) * 0.35),
+        "mixed chain": turned(rng.permutation(16) * 0.35),
+        "dense": rng.permutation(dense),
+    }
+    df = near_rows(spark, lots)
+    wanted = {lot: expected(matrix) for lot, matrix in lots.items()}
+    assert kept_rows(df) == wanted
+    assert kept_rows(df, cell_rows=10, first=2) == wanted
+
+
+def test_near_dedup_of_odd_vectors(spark):
+    odd = [[0, 0], [0, 0], None, None, [1, 0, 0], [1, 0], [2, 0], [float("nan"), 1], [1, 0, 0.1], [], [0.9, 0.1]]
+    assert kept_rows(near_rows(spark, {"l": odd})) == {"l": [0, 0, 2, 2, 4, 5, 5, 7, 4, 9, 5]}
+    assert kept_rows(near_rows(spark, {"l": [[1.0]]}).limit(0)) == {}
+
+
+def test_near_dedup_rounds_do_not_grow_with_the_lot(spark, monkeypatch):
+    """Comparisons and settling rounds of lots of a few hundred and of some thousand rows in many cells."""
+    rounds = {}
+    for n in (300, 2400):
+        counts = rounds[n] = {"compared": 0, "settled": 0}
+
+        def counted(name, function, counts=counts):
+            def run(*args):
+                counts[name] += 1
+                return function(*args)
+
+            return run
+
+        with monkeypatch.context() as patch:
+            patch.setattr(near_dup, "_listed", counted("compared", near_dup._listed))
+            patch.setattr(near_dup, "_with_states", counted("settled", near_dup._with_states))
+            matrix = np.random.default_rng(n).normal(size=(n // 3, 12)).repeat(3, axis=0)
+            matrix += np.random.default_rng(n + 1).normal(scale=0.02, size=matrix.shape)
+            assert kept_rows(near_rows(spark, {"l": matrix}), cell_rows=n // 12) == {"l": expected(matrix)}
+    assert rounds[300] == rounds[2400] == {"compared": 1, "settled": 1}
+
+
 def totals(spark, tokens, optimized, items, price=2.5, volume=10_000, enabled=True):
     return spark.createDataFrame(
         [("l", tokens, optimized, items, enabled, price, volume)],
