@@ -4,7 +4,6 @@ import pytest
 from compare import connect, differences
 
 from __spark_entry__ import entry, oracle_sql, queries
-from textlots.plans import registry
 
 ORACLE = oracle_sql()
 PYTHON_STAGES = {"rewrite_with", "vector_dedup"}
@@ -38,7 +37,11 @@ def test_entry(spark):
 
 def test_totals_shuffle_measures_not_texts(spark, small):
     """One scan of the needed columns; what is shuffled by key holds no text."""
-    plan = plan_of(registry.QUERIES["lot_core"](spark, small))
+    from textlots.operators import costs
+    from textlots.packs import REVIEWS
+    from textlots.plans import inputs, lots
+
+    plan = plan_of(costs.lot_core(costs.lot_totals(lots.analyze(lots.ingest(inputs.feedback(spark, small)), REVIEWS))))
     assert plan.count("FileScan") == 1 and "n_chars" not in plan
     after_scan = plan.split("SortAggregate")[1]
     assert "text#" not in after_scan.split("min(struct(")[1].split(")")[0].replace("text_optimized", "")

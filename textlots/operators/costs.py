@@ -31,6 +31,19 @@ ASSUMPTION_NOTE = (
     "El punto de equilibrio modela un preproceso LLM hipotético (~15% tokens del original)."
 )
 
+# Names and notes of the compared strategies.
+STRATEGY_LABELS = {
+    "a_dictionary": "Stub diccionario (referencia histórica)",
+    "b_ctranslate2": "Traducción neuronal local (CTranslate2 OPUS-MT es→en)",
+    "c_semantic_dedup": "Con deduplicación",
+}
+STRATEGY_NOTES = {
+    "a_dictionary": "No es traducción real; no reportar como optimización profesional.",
+    "b_ctranslate2": "Traducción real del lote (optimización ON).",
+    "c_semantic_dedup": "Reduce cuántos textos se traducen; en lotes <40 solo exacta.",
+}
+NOTE_OFF = "Activa optimización para medir ahorro real CT2 en este lote."
+
 
 def lot_totals(
     canon: DataFrame,
@@ -317,7 +330,10 @@ def strategy_compare(
     dictionary: str = "tokens_optimized",
     by: Sequence[str] = BATCH,
 ) -> DataFrame:
-    """Dictionary, rewrite and dedup side by side, from the counts of all distinct texts."""
+    """Dictionary, rewrite and dedup side by side, from the counts of all distinct texts.
+
+    ``is_primary`` marks the one to report: the rewrite where it ran, else none.
+    """
     lots = canon.groupBy(*by).agg(
         F.sum("tokens_original").alias("_original"),
         F.sum(dictionary).alias("_dictionary"),
@@ -340,7 +356,17 @@ def strategy_compare(
             volume_reduction_pct=share_pct(before - after, before, 2),
         ),
     ]
-    return lots.select(*by, F.inline(F.array(*rows)))
+    compared = lots.select(*by, F.inline(F.array(*rows)))
+    notes = STRATEGY_NOTES if optimize else {**STRATEGY_NOTES, "b_ctranslate2": NOTE_OFF}
+
+    def said(texts: dict[str, str]) -> Column:
+        return F.coalesce(*[F.when(F.col("strategy") == name, text) for name, text in texts.items()])
+
+    return compared.withColumns({
+        "label": said(STRATEGY_LABELS),
+        "note": said(notes),
+        "is_primary": (F.col("strategy") == "b_ctranslate2") & F.lit(optimize),
+    })
 
 
 def _strategy(name: str, method: str, original: Column, tokens: Column, **more: Column) -> Column:

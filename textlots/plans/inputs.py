@@ -204,6 +204,17 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return given.unionByName(doubled)
 
 
+def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` as vectors of the feedback rows: two rows in succession share one, so do their copies."""
+    rows = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("lot_"), F.col("lang")).alias("batch_id"),
+        "source",
+        F.col("doc_id").alias("row_no"),
+        F.floor(F.col("doc_id") / 2).alias("vec_id"),
+    )
+    return rows.join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id").drop("vec_id")
+
+
 # Tables read as wide files: (table, columns with the header they get).
 WIDE = (
     ("part", {"p_name": "p_name", "p_brand": "p_brand", "p_type": "p_type"}),

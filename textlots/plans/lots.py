@@ -23,10 +23,12 @@ from textlots.operators.classify import classification, hint_keys, with_hints, w
 from textlots.operators.dedup import BATCH, ORDER, canonical, with_canonical, with_key
 from textlots.operators.ingest import drop_junk
 from textlots.operators.joins import narrow_join, settled
+from textlots.operators.near_dup import vector_dedup
 from textlots.operators.rewrite import rewrite_with
 from textlots.operators.tokens import with_tokens
 from textlots.packs import Pack
 from textlots.packs.prices import PREVIEW_CHARS, PREVIEW_ROWS
+from textlots.plans.state import merged_near
 
 BatchFn = Callable[[Sequence[str]], Sequence[str]]
 
@@ -73,18 +75,33 @@ def analyze(
     optimize: bool = True,
     batch_fn: BatchFn | None = None,
     with_text: bool = False,
+    near: DataFrame | None = None,
 ) -> DataFrame:
     """Canonical rows of ingested texts with their measures and number of copies.
 
-    ``with_text`` also carries the whole rewrite, for row tables.
+    ``with_text`` also carries the whole rewrite, for row tables. ``near`` maps canonical
+    rows to those they are near duplicates of (``near_dup.vector_dedup``): they then count
+    as copies of these.
     """
     carry = measures(pack) + (["text_optimized"] if with_text else [])
     if batch_fn is None:
-        return canonical(measure(texts, pack, optimize), carry)
-    # Python stages run on each distinct text once.
-    firsts = settled(canonical(texts, ["text"]))
-    rows = measure(firsts, pack, optimize, batch_fn)
-    return rows.select(*BATCH, "key", "n_rows", "canon_source", "canon_row_no", *carry)
+        canon = canonical(measure(texts, pack, optimize), carry)
+    else:
+        # Python stages run on each distinct text once.
+        firsts = settled(canonical(texts, ["text"]))
+        rows = measure(firsts, pack, optimize, batch_fn)
+        canon = rows.select(*BATCH, "key", "n_rows", "canon_source", "canon_row_no", *carry)
+    return canon if near is None else merged_near(settled(canon), near)
+
+
+def near_map(texts: DataFrame, vectors: DataFrame, vec: str = "embedding", **how) -> DataFrame:
+    """Near duplicates among the first rows of the texts that have a vector.
+
+    ``vectors`` holds batch_id, source, row_no and the vector of a row's text.
+    """
+    firsts = canonical(texts.select(*BATCH, *ORDER, "key"))
+    places = firsts.select(*BATCH, F.col("canon_source").alias("source"), F.col("canon_row_no").alias("row_no"))
+    return settled(vector_dedup(vectors.join(places, [*BATCH, *ORDER], "left_semi"), vec, **how))
 
 
 def expand(texts: DataFrame, canon: DataFrame, payload: Sequence[str], **options: int) -> DataFrame:

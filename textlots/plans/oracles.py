@@ -194,6 +194,48 @@ canon AS (
     FROM firsts WHERE place = 1))"""
 
 
+# Rows kept as the first row of their lot with a similar vector: similar ones come in equal pairs here.
+NEAR = f"""{canon()},
+vectored AS (
+  SELECT c.*, e.embedding FROM canon c LEFT JOIN embeddings e ON e.vec_id = c.canon_row_no // 2),
+moved AS (
+  SELECT a.batch_id, a.key, min((b.canon_source, b.canon_row_no)) AS kept
+  FROM vectored a JOIN vectored b ON a.batch_id = b.batch_id
+   AND (b.key = a.key OR list_cosine_similarity(a.embedding, b.embedding) >= 0.92
+        AND (b.canon_source, b.canon_row_no) < (a.canon_source, a.canon_row_no))
+  GROUP BY a.batch_id, a.key),
+near AS (
+  SELECT k.* REPLACE (n AS n_rows) FROM canon k JOIN (
+    SELECT batch_id, kept, sum(n_rows)::BIGINT AS n FROM canon JOIN moved USING (batch_id, key) GROUP BY batch_id, kept) m
+  ON m.batch_id = k.batch_id AND m.kept = (k.canon_source, k.canon_row_no))"""
+
+
+def near_totals() -> str:
+    return totals().replace(canon(), NEAR, 1).replace("FROM canon GROUP BY batch_id)", "FROM near GROUP BY batch_id)")
+
+
+def strategies(rows: str, method: str) -> str:
+    """The three strategies from canonical rows."""
+    labels, notes = costs.STRATEGY_LABELS, costs.STRATEGY_NOTES
+
+    def told(name: str) -> str:
+        return f"{q(labels[name])} AS label, {q(notes[name])} AS note, {str(name == 'b_ctranslate2').lower()} AS is_primary"
+
+    return f""",
+lots AS (
+  SELECT batch_id, sum(tokens_original)::BIGINT AS o, sum(tokens_optimized)::BIGINT AS n,
+    sum(tokens_optimized)::BIGINT AS d, sum(n_rows)::BIGINT AS before, count(*) AS after
+  FROM {rows} GROUP BY batch_id)
+SELECT batch_id, 'a_dictionary' AS strategy, 'dictionary' AS method, d AS tokens, o - d AS savings_vs_original,
+  {pct("o - d", "o", 2)} AS savings_pct, NULL::BIGINT AS items_before, NULL::BIGINT AS items_after,
+  NULL::BIGINT AS tokens_canonical_original, NULL::BIGINT AS tokens_canonical_translated,
+  NULL::DOUBLE AS volume_reduction_pct, {told("a_dictionary")} FROM lots
+UNION ALL SELECT batch_id, 'b_ctranslate2', 'dictionary', n, o - n, {pct("o - n", "o", 2)}, NULL, NULL, NULL, NULL, NULL,
+  {told("b_ctranslate2")} FROM lots
+UNION ALL SELECT batch_id, 'c_semantic_dedup', {q(method)}, NULL, NULL, NULL, before, after, o, n,
+  {pct("before - after", "before", 2)}, {told("c_semantic_dedup")} FROM lots"""
+
+
 def totals(optimize: bool = True) -> str:
     return f"""{canon(optimize=optimize)},
 totals AS (
@@ -663,19 +705,22 @@ SELECT batch_id, price_per_million AS price_per_million_usd, daily_volume, 30::I
         "top_types": f"""WITH {distribution(REVIEWS)}
 SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY n DESC, type)::INT AS position FROM distribution
 QUALIFY position <= 10""",
-        "strategy_compare": f"""WITH {canon()},
-lots AS (
-  SELECT batch_id, sum(tokens_original)::BIGINT AS o, sum(tokens_optimized)::BIGINT AS n,
-    sum(tokens_optimized)::BIGINT AS d, sum(n_rows)::BIGINT AS before, count(*) AS after
-  FROM canon GROUP BY batch_id)
-SELECT batch_id, 'a_dictionary' AS strategy, 'dictionary' AS method, d AS tokens, o - d AS savings_vs_original,
-  {pct("o - d", "o", 2)} AS savings_pct, NULL::BIGINT AS items_before, NULL::BIGINT AS items_after,
-  NULL::BIGINT AS tokens_canonical_original, NULL::BIGINT AS tokens_canonical_translated,
-  NULL::DOUBLE AS volume_reduction_pct FROM lots
-UNION ALL SELECT batch_id, 'b_ctranslate2', 'dictionary', n, o - n, {pct("o - n", "o", 2)}, NULL, NULL, NULL, NULL, NULL
-FROM lots
-UNION ALL SELECT batch_id, 'c_semantic_dedup', 'exact', NULL, NULL, NULL, before, after, o, n,
-  {pct("before - after", "before", 2)} FROM lots""",
+        "strategy_compare": f"WITH {canon()}{strategies('canon', 'exact')}",
+        "strategy_compare_near": f"WITH {NEAR}{strategies('near', 'semantic')}",
+        "lot_added": f"WITH {totals()}, {core()} SELECT * FROM core",
+        "lot_core_near": f"""WITH {near_totals()}, {core()}
+SELECT *, 'dictionary' AS optimize_method, 'Fallback diccionario (motor CT2 no disponible)' AS optimize_method_label,
+  'semantic' AS dedup_method, 'reviews' AS domain FROM core""",
+        "dedup_stats_near": f"""WITH {NEAR}
+SELECT batch_id, sum(n_rows)::BIGINT AS input_items, count(*) AS canonical_items,
+  (sum(n_rows) - count(*))::BIGINT AS removed_or_merged,
+  {pct("(sum(n_rows) - count(*))", "sum(n_rows)", 2)} AS reduction_pct,
+  {rounded("1::DOUBLE - count(*)::DOUBLE / sum(n_rows)::DOUBLE", 3)} AS dedup_ratio
+FROM near GROUP BY batch_id""",
+        "expand_near": f"""WITH {NEAR}
+SELECT t.batch_id, t.source, t.row_no, c.canon_source, c.canon_row_no, c.tokens_original, c.tokens_optimized
+FROM texts t JOIN moved m USING (batch_id, key)
+JOIN canon c ON c.batch_id = t.batch_id AND (c.canon_source, c.canon_row_no) = m.kept""",
         "recalculate": f"""WITH {SCENARIOS}
 SELECT * EXCLUDE (mean_o, mean_n, overhead, overhead_usd, saved_usd, frac, day_o, day_n), {EVEN.replace("NAME", "break_even_items")} FROM (
   {OVERHEAD} FROM ({MEANS} FROM (

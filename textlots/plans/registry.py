@@ -12,7 +12,8 @@ from textlots.functions.rewrite import dict_rewrite
 from textlots.operators import classify as cl
 from textlots.operators import costs, dedup, ingest, near_dup, reports, rewrite, tokens
 from textlots.packs import CONTRACTS, INCIDENTS, PACKS, REVIEWS, Pack
-from textlots.plans import inputs, lots
+from textlots.operators.joins import settled
+from textlots.plans import inputs, lots, state
 from textlots.session import work_dir
 from textlots.sources import files
 from textlots.streaming import reports as stream
@@ -27,8 +28,29 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return lots.ingest(inputs.feedback(spark, d))
 
 
-def _canon(spark: SparkSession, d: str, pack: Pack = REVIEWS, **options) -> DataFrame:
-    return lots.analyze(_texts(spark, d), pack, **options)
+# Where the state of lots is stored, by session, table files and what was measured.
+_STATES: dict[tuple, str] = {}
+
+
+def _canon(spark: SparkSession, d: str, pack: Pack = REVIEWS, optimize: bool = True) -> DataFrame:
+    """The lots' stored canonical rows: texts are measured once, and all totals derive from that.
+
+    Measured again as soon as the files of the table, or their bytes, are others.
+    """
+    given = spark.read.parquet(f"{d}/documents.parquet")
+    size = str(given._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    seen = (spark.sparkContext.applicationId, tuple(sorted(given.inputFiles())), size, pack.domain, optimize)
+    if seen not in _STATES:
+        path = work_dir(spark, "lot-state")
+        state.add(lots.analyze(_texts(spark, d), pack, optimize), path)
+        _STATES[seen] = path
+    return state.load(spark, _STATES[seen])
+
+
+def _near(spark: SparkSession, d: str) -> DataFrame:
+    """The lots' canonical rows after near duplicates of them are counted as copies."""
+    near = lots.near_map(_texts(spark, d), inputs.text_vectors(spark, d))
+    return settled(state.merged_near(_canon(spark, d), near))
 
 
 def _totals(spark: SparkSession, d: str) -> DataFrame:
@@ -169,6 +191,19 @@ def dropped_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return mapped.where(~F.col("is_canonical")).select("batch_id", "source", "row_no")
 
 
+def dedup_stats_near(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.dedup_stats(_near(spark, d))
+
+
+def expand_near(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with the measures of the row that its near duplicates are kept as."""
+    texts = _texts(spark, d)
+    near = lots.near_map(texts, inputs.text_vectors(spark, d))
+    canon = state.with_near(_canon(spark, d), near)
+    payload = ["canon_source", "canon_row_no", "tokens_original", "tokens_optimized"]
+    return lots.expand(texts, canon, payload).drop("key", "text")
+
+
 def vector_dedup(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.vector_dedup(inputs.vectors(spark, d))
 
@@ -333,6 +368,23 @@ def lot_record(spark: SparkSession, d: str) -> DataFrame:
     return costs.lot_record(costs.lot_core(_totals(spark, d)), REVIEWS.domain)
 
 
+def lot_core_near(spark: SparkSession, d: str) -> DataFrame:
+    return costs.lot_record(costs.lot_core(costs.lot_totals(_near(spark, d))), REVIEWS.domain, dedup_method="semantic")
+
+
+def lot_added(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of lots whose files come in three additions, the first two merged before the third."""
+    path = work_dir(spark, "lot-added")
+    texts = _texts(spark, d)
+    for step in range(3):
+        # Every source is a file, and belongs to one of the additions.
+        some = texts.where(F.pmod(F.xxhash64("source"), F.lit(3)) == step)
+        state.add(lots.analyze(some, REVIEWS), path)
+        if step == 1:
+            state.compact(spark, path)
+    return costs.lot_core(costs.lot_totals(state.load(spark, path)))
+
+
 def lot_core_off(spark: SparkSession, d: str) -> DataFrame:
     canon = _canon(spark, d, optimize=False)
     return costs.lot_core(costs.lot_totals(canon, optimize=False))
@@ -381,6 +433,10 @@ def strategy_compare(spark: SparkSession, d: str) -> DataFrame:
     return costs.strategy_compare(_canon(spark, d))
 
 
+def strategy_compare_near(spark: SparkSession, d: str) -> DataFrame:
+    return costs.strategy_compare(_near(spark, d), dedup_method="semantic")
+
+
 def recalculate(spark: SparkSession, d: str) -> DataFrame:
     return costs.recalculate(inputs.scenarios(_totals(spark, d)))
 
@@ -446,6 +502,8 @@ QUERIES: dict[str, Query] = {
     "exact_dedup": exact_dedup,
     "dedup_stats": dedup_stats,
     "dropped_duplicates": dropped_duplicates,
+    "dedup_stats_near": dedup_stats_near,
+    "expand_near": expand_near,
     "vector_dedup": vector_dedup,
     "expand_results": expand_results,
     "rule_match_long": rule_match_long,
@@ -470,6 +528,8 @@ QUERIES: dict[str, Query] = {
     "report_triage_compact": _triaged("compact"),
     "lot_core": lot_core,
     "lot_core_off": lot_core_off,
+    "lot_core_near": lot_core_near,
+    "lot_added": lot_added,
     "lot_record": lot_record,
     "multi_model_costs": multi_model_costs,
     "model_compare": model_compare,
@@ -483,6 +543,7 @@ QUERIES: dict[str, Query] = {
     "type_distribution_incidents": _distribution(INCIDENTS),
     "top_types": top_types,
     "strategy_compare": strategy_compare,
+    "strategy_compare_near": strategy_compare_near,
     "recalculate": recalculate,
     "stage_counts": stage_counts,
     "report_stream": report_stream,
