@@ -58,8 +58,10 @@ def test_broken_json_lines_are_counted(spark, tmp_path):
 def test_damaged_files_are_not_half_read(spark, tmp_path):
     packed = gzip.compress("".join(f"Texto número {i} de la lista.\n" for i in range(20_000)).encode())
     (tmp_path / "cut.csv.gz").write_bytes(packed[: len(packed) // 2])
+    texts, detected = files.read_feedback(spark, [str(tmp_path / "cut.csv.gz")])
+    assert texts.count() == 0 and detected.first().error
     with pytest.raises(Exception):
-        files.read_feedback(spark, [str(tmp_path / "cut.csv.gz")])[0].count()
+        files.read_cells(spark, [str(tmp_path / "cut.csv.gz")], "csv", "lot").count()
 
 
 @pytest.mark.parametrize("fmt", ["csv", "json", "parquet", "orc"])

@@ -705,6 +705,12 @@ SELECT batch_id, price_per_million AS price_per_million_usd, daily_volume, 30::I
         "top_types": f"""WITH {distribution(REVIEWS)}
 SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY n DESC, type)::INT AS position FROM distribution
 QUALIFY position <= 10""",
+        "feedback_csv": f"""WITH {FEEDBACK}
+SELECT text, count(*) AS n_rows FROM (SELECT {clean("text")} AS text FROM feedback) WHERE {junk("text")} IS NULL GROUP BY text""",
+        "feedback_headerless": f"""WITH items AS (
+  SELECT text, {junk("text")} IS NULL AS good FROM (SELECT {clean("text")} AS text FROM benchmark))
+SELECT CASE WHEN good THEN 'col_1' END AS column_detected, NULL AS text, count(*) AS n_rows FROM items GROUP BY good
+UNION ALL SELECT NULL, text, count(*) FROM items WHERE good GROUP BY text""",
         "strategy_compare": f"WITH {canon()}{strategies('canon', 'exact')}",
         "strategy_compare_near": f"WITH {NEAR}{strategies('near', 'semantic')}",
         "lot_added": f"WITH {totals()}, {core()} SELECT * FROM core",

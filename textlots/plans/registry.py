@@ -110,6 +110,26 @@ def _read_back(fmt: str) -> Query:
     return query
 
 
+def feedback_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The lots as CSV files whose cells hold commas, quotes and line breaks, and the texts read from them."""
+    folder = work_dir(spark, "feedback-csv")
+    rows = inputs.feedback(spark, d).select("batch_id", F.col("row_no").alias("doc"), F.col("text").alias("texto"))
+    files.write_results(rows, folder, "csv")
+    texts, _ = files.read_feedback(spark, [folder])
+    return texts.groupBy("text").agg(F.count("*").alias("n_rows"))
+
+
+def feedback_headerless(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as one CSV file each, without a header: the only row is the data."""
+    folder = work_dir(spark, "feedback-bare")
+    items = inputs.table(spark, d, "benchmark").select("item_id", F.lit("7").alias("number"), "text").repartition("item_id")
+    items.write.options(quoteAll=True, escape='"').partitionBy("item_id").csv(folder)
+    texts, status = files.read_feedback(spark, [folder])
+    columns = status.groupBy("column_detected", F.lit(None).cast("string").alias("text")).agg(F.count("*").alias("n_rows"))
+    found = texts.groupBy(F.lit(None).cast("string").alias("column_detected"), "text").agg(F.count("*").alias("n_rows"))
+    return columns.unionAll(found)
+
+
 def result_table(spark: SparkSession, d: str) -> DataFrame:
     return _result_table(spark, d, REVIEWS)
 
@@ -489,6 +509,8 @@ QUERIES: dict[str, Query] = {
     "read_back_csv": _read_back("csv"),
     "read_back_json": _read_back("json"),
     "read_back_parquet": _read_back("parquet"),
+    "feedback_csv": feedback_csv,
+    "feedback_headerless": feedback_headerless,
     "result_table": result_table,
     "result_table_contracts": result_table_contracts,
     "lot_summary": lot_summary,

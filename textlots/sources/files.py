@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from textlots.operators.ingest import detect_text_column, pick_text
 from textlots.operators.ingest import header as header_column
 from textlots.operators.joins import settled
+from textlots.sources.csv_lots import read_csv_lot
 
 FORMATS = ("csv", "json", "parquet", "orc", "text")
 # Where Spark puts the text of a line that it cannot parse.
@@ -177,11 +178,13 @@ def read_feedback(
 ) -> tuple[DataFrame, DataFrame]:
     """Usable texts of a lot of files, and per file the detected column and its broken rows.
 
-    With ``header='auto'`` a CSV file without any usable text below its first row is read
-    again with that row as data.
+    With ``header='auto'`` a CSV file without any usable text below its first row has that
+    row as data. A CSV file that cannot be read is a row with its ``error``, the lot goes on.
     """
-    with_header = header is not False
-    cells = read_cells(spark, paths, fmt, batch_id, with_header, multi_line)
+    if fmt == "csv":
+        texts, status = read_csv_lot(spark, paths, batch_id, header, multi_line)
+        return texts, status.withColumn("broken_rows", F.lit(0).cast("bigint"))
+    cells = read_cells(spark, paths, fmt, batch_id)
     by = ["batch_id", "source"]
     columns = [c for c in cells.columns if c not in (*by, "row_no")]
     broken = broken_rows(spark, paths, fmt, batch_id)
@@ -189,20 +192,7 @@ def read_feedback(
         detect_text_column(cells, by, columns).join(broken, by, "full_outer")
         .fillna(0, ["n_texts", "broken_rows"])
     )
-    texts = pick_text(cells, detected, by, keep=["row_no"])
-    if fmt != "csv" or header != "auto":
-        return texts, detected
-    bare = read_cells(spark, paths, fmt, batch_id, header=False, multi_line=multi_line)
-    unnamed = [c for c in bare.columns if c not in (*by, "row_no")]
-    # A file with a header line only has no row in the first read at all.
-    found = detected.where(F.col("column_detected").isNotNull()).select(*by)
-    again = detect_text_column(bare, by, unnamed).join(found, by, "left_anti")
-    rest = settled(again.withColumn("broken_rows", F.lit(0).cast("bigint")))
-    if rest.isEmpty():
-        return texts, detected
-    more = pick_text(bare, rest, by, keep=["row_no"])
-    kept = detected.where(F.col("column_detected").isNotNull())
-    return texts.unionByName(more), kept.unionByName(rest)
+    return pick_text(cells, detected, by, keep=["row_no"]), detected
 
 
 def unite(*lots: DataFrame) -> DataFrame:
