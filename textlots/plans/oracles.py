@@ -614,6 +614,17 @@ pack AS (
 SELECT batch_id, source, row_no, coalesce(arg_min(p_type, place), 'none') AS part_type,
   coalesce(arg_min(size::VARCHAR, place), 'low') AS severity
 FROM feedback LEFT JOIN pack ON contains(lower(text), word) GROUP BY batch_id, source, row_no""",
+        "rule_index_match": f"""WITH {FEEDBACK},
+words AS (
+  SELECT word, min(item_id) AS place FROM (
+    SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark) GROUP BY word),
+rules AS (
+  SELECT 'type_' || substr(word, 1, 2) AS type, list(word) AS words, min(place) AS place FROM words GROUP BY type),
+hit AS (
+  SELECT batch_id, source, row_no, type, place, len(list_filter(words, lambda w: contains(low, w))) AS hits
+  FROM (SELECT *, lower(text) AS low FROM feedback), rules)
+SELECT batch_id, source, row_no, type, hits FROM hit WHERE hits > 0
+QUALIFY row_number() OVER (PARTITION BY batch_id, source, row_no ORDER BY hits DESC, place, type) = 1""",
         "playbook_join": f"""WITH {REPORTS}, {PLAYS},
 named AS (
   SELECT report_id, CASE report_id % 3 WHEN 0 THEN substr(m, 1, 8) WHEN 1 THEN 'Módulo ' || m ELSE m END AS modulo_probable

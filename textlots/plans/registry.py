@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textlots.functions import text as tx
 from textlots.functions.rewrite import dict_rewrite
 from textlots.operators import classify as cl
-from textlots.operators import costs, dedup, ingest, near_dup, reports, rewrite, tokens
+from textlots.operators import costs, dedup, ingest, keyword_index, near_dup, reports, rewrite, tokens
 from textlots.packs import CONTRACTS, INCIDENTS, PACKS, REVIEWS, Pack
 from textlots.operators.joins import settled
 from textlots.plans import inputs, lots, state
@@ -256,6 +256,19 @@ def rule_table_match(spark: SparkSession, d: str) -> DataFrame:
     return done.select("batch_id", "source", "row_no", "classification.part_type", "classification.severity")
 
 
+def rule_index_match(spark: SparkSession, d: str) -> DataFrame:
+    """The winning type of each text by a table of thousands of keywords: the words of the benchmark."""
+    words = inputs.table(spark, d, "benchmark").select(
+        "item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("keyword")
+    )
+    table = words.groupBy("keyword").agg(F.min("item_id").alias("rule_order")).select(
+        F.lit("benchmark").alias("domain"), "rule_order",
+        F.concat(F.lit("type_"), F.substring("keyword", 1, 2)).alias("type"), "keyword",
+    )
+    matches = keyword_index.match_table(inputs.feedback(spark, d), table, "benchmark")
+    return keyword_index.winners(matches)
+
+
 def playbook_join(spark: SparkSession, d: str) -> DataFrame:
     triaged = reports.triage(inputs.reports(spark, d))
     # Every third module name is shortened, so that partial matches occur too.
@@ -530,6 +543,7 @@ QUERIES: dict[str, Query] = {
     "expand_results": expand_results,
     "rule_match_long": rule_match_long,
     "rule_table_match": rule_table_match,
+    "rule_index_match": rule_index_match,
     "playbook_join": playbook_join,
     "normalize_text": normalize_text,
     "token_count": token_count,

@@ -25,7 +25,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textlots.functions.bind import bind
+from textlots.functions.bind import bind, words
 from textlots.functions.text import clean, normalize
 from textlots.operators.ingest import HEADER_WORDS, drop_junk, usable
 from textlots.operators.joins import narrow_join, settled
@@ -37,7 +37,7 @@ LINES = "path string, source string, block bigint, value string"
 ROWS = "path string, source string, block bigint, place bigint, kind int, value string, cells array<string>"
 
 # From inside a quoted cell to its closing quote; a doubled quote is part of the cell.
-_CLOSE = re.compile(r'(?:[^"]|"")*"(?!")')
+_CLOSE = re.compile(r'[^"]*(?:""[^"]*)*"(?!")')
 
 
 def ends_inside(line: str, inside: bool) -> bool:
@@ -224,11 +224,9 @@ def _message(error: Exception) -> str:
 
 def header_points(name: Column) -> Column:
     """100 for every header word inside the accent-free, lower-case header; 0 for none."""
-    plain = normalize(name)
-    points = F.lit(0.0)
-    for word in HEADER_WORDS:
-        points = points + F.when(F.contains(plain, F.lit(word)), 100.0).otherwise(0.0)
-    return F.coalesce(points, F.lit(0.0))
+    known = words(HEADER_WORDS)
+    found = bind(normalize(name), lambda plain: F.size(F.filter(known, lambda word: F.contains(plain, word))))
+    return F.coalesce(100.0 * found, F.lit(0.0))
 
 
 def detect_places(rows: DataFrame, header: str | bool = "auto") -> DataFrame:
@@ -249,18 +247,19 @@ def detect_places(rows: DataFrame, header: str | bool = "auto") -> DataFrame:
         F.sum(F.when(~F.col("on_top"), F.col("chars"))).alias("below_sum"),
         F.count("chars").alias("n"), F.sum("chars").alias("sum"),
     )
-    placed = sums.join(first, "path")
-    given = F.get("header", F.col("at"))
     unnamed = F.concat(F.lit("col_"), F.col("at").cast("string"))
-    named = F.when(F.trim(given) != "", given).otherwise(unnamed)
+    placed = narrow_join(sums, first, ["path"]).withColumn("given", F.nullif(F.get("header", F.col("at")), F.lit("")))
+    placed = placed.withColumn("points", header_points(F.col("given")))
+    named = F.when(F.trim("given") != "", F.col("given")).otherwise(unnamed)
 
-    def best(name: Column, total: Column, n: Column) -> Column:
-        score = header_points(name) + total.cast("double") / n
-        return F.max(F.when(n > 0, F.struct(score.alias("score"), (-F.col("at")).alias("order"), name.alias("name"), n.alias("n"))))
+    def best(name: Column, points: Column, total: str, n: str) -> Column:
+        score = points + F.col(total).cast("double") / F.col(n)
+        rated = F.struct(score.alias("score"), (-F.col("at")).alias("order"), name.alias("name"), F.col(n).alias("n"))
+        return F.max(F.when(F.col(n) > 0, rated))
 
     scored = placed.groupBy("path", "source", "first_row").agg(
-        best(named, F.col("below_sum"), F.col("below_n")).alias("below"),
-        best(unnamed, F.col("sum"), F.col("n")).alias("all"),
+        best(named, F.col("points"), "below_sum", "below_n").alias("below"),
+        best(unnamed, F.lit(0.0), "sum", "n").alias("all"),
     )
     below = F.lit(False) if header is False else F.col("below").isNotNull() if header == "auto" else F.lit(True)
     chosen = F.when(below, F.col("below")).otherwise(F.col("all"))
