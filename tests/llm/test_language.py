@@ -54,6 +54,38 @@ def test_chance_hits_are_taken_off():
     assert learned.shares([text])[0, 0] < 0.05
 
 
+def test_filter_against_exact_sets(spark):
+    """Predictions from plain Python sets of common n-grams: the filter only adds chance hits, and takes them off."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.lang, r.text) for r in docs.collect()]
+
+    def grams(text):
+        letters = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in b"  " + text.lower().encode() + b"  ")
+        return [g for g in (letters[i : i + 4] for i in range(len(letters) - 3)) if g != b"    "]
+
+    counts = {}
+    for doc_id, lang, text in rows:
+        if lang is not None and text is not None and not held(doc_id):
+            counts.setdefault(lang, Counter()).update(grams(text))
+    sets = {
+        lang: {g for g, n in own.items() if n >= own.total() * language.MIN_SHARE} for lang, own in counts.items()
+    }
+    found = {r.doc_id: r for r in language.identified(docs).collect()}
+    near = 0
+    for doc_id, _, text in rows:
+        own = grams(text or "")
+        shares = {lang: sum(g in known for g in own) / max(1, len(own)) for lang, known in sets.items()}
+        best = min(shares, key=lambda lang: (-shares[lang], lang))
+        if not any(c.isalpha() for c in text or ""):
+            assert (found[doc_id].lang_pred, found[doc_id].score) == ("und", 0)
+            continue
+        assert abs(found[doc_id].score - shares[found[doc_id].lang_pred]) < 0.02
+        # Another language is named only where its exact share is as good up to chance.
+        assert shares[best] - shares[found[doc_id].lang_pred] < 0.02
+        near += found[doc_id].lang_pred == best
+    assert near >= 0.99 * len(rows)
+
+
 def test_common_ngrams_only(spark):
     docs = spark.createDataFrame([("aa", "bana " * 999 + "zyxw")], "lang string, text string")
     counts = {r.ngram: r.n for r in language.ngram_counts(docs).collect()}
