@@ -1,7 +1,10 @@
 """The report channel: stream and batch agree, and a repeated epoch leaves no row twice."""
 
+import pytest
+
 from textlots.operators import reports
 from textlots.plans import inputs
+from textlots.streaming import epochs
 from textlots.streaming import reports as stream
 
 
@@ -23,10 +26,41 @@ def test_routes_hold_each_report_once_even_after_a_restart(spark, small, tmp_pat
         source = inputs.report_source(spark, small)
         stream.start_routes(source, tables, str(tmp_path / checkpoint), available_now=True).awaitTermination()
     batch = reports.submit(inputs.reports(spark, small))
-    tracked = spark.read.parquet(tables["tracker"]).drop("epoch")
+    tracked = epochs.read_epochs(spark, tables["tracker"])
     assert rows(tracked) == rows(reports.tracker_rows(batch))
-    alerts = spark.read.parquet(tables["alerts"])
+    alerts = epochs.read_epochs(spark, tables["alerts"])
     assert alerts.count() == batch.where("severidad = 'critica'").count()
-    refused = spark.read.parquet(tables["rejected"])
+    refused = epochs.read_epochs(spark, tables["rejected"])
     assert refused.count() == inputs.reports(spark, small).count() - batch.count() > 0
-    assert spark.read.parquet(tables["outbox"]).count() == batch.where("email like '%@%'").count()
+    assert epochs.read_epochs(spark, tables["outbox"]).count() == batch.where("email like '%@%'").count()
+
+
+def numbers(df):
+    return sorted(r.id for r in df.collect())
+
+
+def test_epochs_replace_themselves_and_are_compacted(spark, tmp_path):
+    path = str(tmp_path / "table")
+    with pytest.raises(ValueError, match="no epoch"):
+        epochs.read_epochs(spark, path)
+    for epoch in range(3):
+        epochs.write_epoch(spark.range(10 * epoch, 10 * epoch + 3), path, epoch)
+    assert numbers(epochs.read_epochs(spark, path)) == [0, 1, 2, 10, 11, 12, 20, 21, 22]
+    held = epochs.read_epochs(spark, path)
+    # Epoch 2 is run again with more rows; a run that failed before its commit is not seen.
+    epochs.write_epoch(spark.range(20, 25), path, 2)
+    spark.range(900, 910).write.parquet(f"{path}/parts/lost")
+    now = [0, 1, 2, 10, 11, 12, 20, 21, 22, 23, 24]
+    assert numbers(epochs.read_epochs(spark, path)) == now and len(numbers(held)) == 9
+    epochs.compact(spark, path)
+    assert numbers(epochs.read_epochs(spark, path)) == now
+    assert len(epochs._newest(epochs._log(spark, path))[1]) == 1
+    # Closed epochs are there already; later ones go on, and are compacted with the rest.
+    epochs.write_epoch(spark.range(20, 25), path, 2)
+    epochs.write_epoch(spark.range(30, 31), path, 3)
+    epochs.write_epoch(spark.range(0), path, 4)
+    assert numbers(epochs.read_epochs(spark, path)) == [*now, 30]
+    epochs.compact(spark, path)
+    epochs.compact(spark, path)
+    assert numbers(epochs.read_epochs(spark, path)) == [*now, 30]
+    assert epochs.read_epochs(spark, path).inputFiles() != [] and epochs._newest(epochs._log(spark, path))[0] == 4

@@ -16,6 +16,7 @@ from textlots.operators.joins import settled
 from textlots.plans import inputs, lots, state
 from textlots.session import work_dir
 from textlots.sources import files
+from textlots.streaming import epochs
 from textlots.streaming import reports as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -497,8 +498,9 @@ def report_routes(spark: SparkSession, d: str) -> DataFrame:
     tables = {name: f"{out}/{name}" for name in stream.ROUTES}
     source = inputs.report_source(spark, d)
     stream.start_routes(source, tables, f"{out}/checkpoint", available_now=True).awaitTermination()
+    epochs.compact(spark, tables["tracker"])
     parts = [
-        spark.read.parquet(path).select(F.lit(name).alias("route"), "report_id")
+        epochs.read_epochs(spark, path).select(F.lit(name).alias("route"), "report_id")
         for name, path in tables.items()
     ]
     return files.unite(*parts)

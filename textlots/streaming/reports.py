@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textlots.operators.reports import alert_text, compose_reply, rejected_reports, submit, tracker_rows
+from textlots.streaming.epochs import write_epoch
 
 ROUTES = ("alerts", "tracker", "outbox", "rejected")
 
@@ -40,10 +41,10 @@ def start_routes(
 ) -> StreamingQuery:
     """Start the routing job. ``tables`` maps alerts, tracker, outbox and rejected to folders.
 
-    A micro-batch replaces its own ``epoch`` folder in each table, so that a batch that is
-    run again after a failure leaves no row twice. Refused reports go to ``rejected`` with
-    their reason. Every trigger leaves a file per table: keep the interval long, or rewrite
-    the folders of past epochs into one from time to time, while the job is stopped.
+    Each table is read with ``epochs.read_epochs``: a micro-batch that is run again after a
+    failure takes the place of its first run in one step. Refused reports go to ``rejected``
+    with their reason. Every trigger leaves a file per table; ``epochs.compact`` puts them
+    together, while the job runs.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -52,7 +53,7 @@ def start_routes(
             good = report_stream(batch, source)
             for name in ROUTES:
                 rows = rejected_reports(batch) if name == "rejected" else route(good, name, brand)
-                rows.write.mode("overwrite").parquet(f"{tables[name]}/epoch={epoch}")
+                write_epoch(rows, tables[name], epoch)
         finally:
             batch.unpersist()
 
