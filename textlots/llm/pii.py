@@ -4,12 +4,15 @@ Base spans are found by fixed patterns for e-mail addresses, IP addresses, card
 phone numbers. They are the seeds of a graph of contexts (the one or two words before a
 value, with the signs in between) and values (base spans, and other tokens with a digit).
 In each round a context is scored by the share of its distinct values that are known to be
-of a kind, a value by the contexts it occurs in; contexts with enough seeds and a high share
-then make further values known. Tokens in an accepted context that became known are new
-spans of its kind. Column expressions and joins only.
+of a kind, a value by the contexts it occurs in; contexts whose share is high with confidence
+(the lower bound of its interval, so that a few values prove little in any table) make
+further values known. Rounds go on until no context is accepted any more. Tokens in an
+accepted context that became known are new spans of its kind. Column expressions and joins only.
 
 Defined results: a null text counts as empty; repeated documents each keep their row and
-count once in the graph; without seeds, or without accepted contexts, only base spans remain.
+count once in the graph; without seeds, or without accepted contexts, only base spans remain;
+texts of any length are searched whole; an empty table gives an empty result; other columns
+of the input, whatever their names, are left behind.
 """
 
 from __future__ import annotations
@@ -34,10 +37,14 @@ BYTE = "^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
 # What a text must hold for a pattern to be worth trying.
 GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "token": "[0-9]"}
 
-CONTEXT_CHARS = 80
-ROUNDS = 3
-MIN_SEEDS = 5
-MIN_CONTEXT = 0.8
+# The last two words before a value, and all that stands between and after them, backwards.
+BEFORE = r"^[^\p{L}]*+(?:\p{L}++(?:[^\p{L}]++\p{L}++)?+)?+"
+
+# More rounds than any chain of contexts; each accepts one at least.
+MAX_ROUNDS = 100
+# Least share of a context's values that are of one kind: lower end of its 90 % interval.
+MIN_CONTEXT = 0.6
+CONFIDENCE = 1.645
 MIN_VALUE = 0.8
 
 KEY = ("doc_id", "text_hash")
@@ -74,7 +81,8 @@ def _matches(kind: int, pattern: str, guard: str) -> Column:
         F.filter(pairs, lambda pair: pair["hit"].isNotNull()),
         lambda pair, at: F.struct(
             F.lit(kind).alias("kind"), at.alias("number"), F.length(pair["piece"]).alias("gap"),
-            pair["hit"].alias("value"), F.right(pair["piece"], F.lit(CONTEXT_CHARS)).alias("context"),
+            pair["hit"].alias("value"),
+            F.reverse(F.regexp_extract(F.reverse(pair["piece"]), BEFORE, 0)).alias("context"),
         ),
     )
 
@@ -138,9 +146,15 @@ def occurrences(spans: DataFrame) -> DataFrame:
     )
 
 
+def _surely(share: Column, n: Column) -> Column:
+    """Lower bound of a share that was observed in n cases."""
+    z = CONFIDENCE
+    spread = z * F.sqrt(F.greatest(share * (1 - share), F.lit(0.0)) / n + z * z / (4 * n * n))
+    return (share + z * z / (2 * n) - spread) / (1 + z * z / n)
+
+
 def bootstrapped(
-    found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
-    min_context: float = MIN_CONTEXT, min_value: float = MIN_VALUE,
+    found: DataFrame, min_context: float = MIN_CONTEXT, min_value: float = MIN_VALUE
 ) -> tuple[DataFrame, DataFrame]:
     """(context, kind, score) of the accepted contexts, (value, kind, score) of the known values."""
     links = settled(found.groupBy("context", "value").agg(F.max("kind").alias("kind")))
@@ -149,16 +163,18 @@ def bootstrapped(
         links.where("kind IS NOT NULL").groupBy("value", "kind").agg(F.lit(1.0).alias("score"))
     )
     links = links.select("context", "value")
-    known, contexts = seeds, None
-    for _ in range(rounds):
-        sums = links.join(known, "value").groupBy("context", "kind").agg(
-            F.sum("score").alias("sum"), F.count("*").alias("seeds")
-        )
+    known, accepted = seeds, 0
+    for _ in range(MAX_ROUNDS):
+        sums = links.join(known, "value").groupBy("context", "kind").agg(F.sum("score").alias("sum"))
         contexts = settled(
-            sums.where(F.col("seeds") >= min_seeds).join(degrees, "context")
-            .withColumn("score", F.col("sum") / (F.col("degree") + 1)).where(F.col("score") >= min_context)
-            .select("context", "kind", "score")
+            sums.join(degrees, "context")
+            .where(_surely(F.col("sum") / F.col("degree"), F.col("degree")) >= min_context)
+            .select("context", "kind", (F.col("sum") / (F.col("degree") + 1)).alias("score"))
         )
+        # Known values only grow, and with them the accepted contexts.
+        before, accepted = accepted, contexts.count()
+        if accepted == before:
+            return contexts, known
         # The chance that not all accepted contexts of a value are wrong.
         miss = F.exp(F.sum(F.log(1 - F.col("score"))))
         fresh = (
@@ -168,7 +184,7 @@ def bootstrapped(
         known = settled(
             seeds.unionByName(fresh).groupBy("value", "kind").agg(F.max("score").alias("score"))
         )
-    return contexts, known
+    raise RuntimeError(f"contexts did not settle in {MAX_ROUNDS} rounds")
 
 
 def personal_data(docs: DataFrame, **how) -> DataFrame:
