@@ -29,6 +29,21 @@ def test_own_results_come_back(spark, tmp_path):
     assert texts_of(texts) == sorted(" ".join(t.split()) for _, t in rows)
 
 
+def test_sink_deals_tasks_by_size(spark, tmp_path):
+    rows = [("big", "x" * 100)] * 3000 + [(f"lot{i % 40}", f"texto {i}" + "y" * 90) for i in range(5900)] + [(None, "z" * 100)] * 100
+    table = spark.createDataFrame(rows, "batch_id string, texto string").repartition(16)
+    target = 40_000
+    files.write_results(table, str(tmp_path / "out"), target_bytes=target)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(repr, back.select("batch_id", "texto").collect())) == sorted(map(repr, table.collect()))
+    written = list((tmp_path / "out").rglob("*.parquet"))
+    assert len(written) <= 9000 * 110 / target + 42 + 1
+    # Rows of the large lot are all equal, and still in many files of like size.
+    sizes = [r.n for r in back.where("batch_id = 'big'").groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) >= 7 and max(sizes) < 600
+    files.write_results(table.limit(0), str(tmp_path / "none"))
+
+
 def test_each_file_has_its_own_header(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,comentario\n1,El primero es bueno.\n")
     (tmp_path / "b.csv").write_text("comentario,id\nEl segundo no carga.,22222222222222222\n")

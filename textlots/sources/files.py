@@ -7,16 +7,18 @@ from collections.abc import Callable, Iterable, Sequence
 from functools import partial
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlots.operators.ingest import detect_text_column, pick_text
 from textlots.operators.ingest import header as header_column
-from textlots.operators.joins import settled
+from textlots.operators.joins import narrow_join, settled
 from textlots.sources.csv_lots import read_csv_lot
 
 FORMATS = ("csv", "json", "parquet", "orc", "text")
+# Unpacked rows of one task of the sink.
+TARGET_BYTES = 256 << 20
 # Where Spark puts the text of a line that it cannot parse.
 BROKEN = "_corrupt_record"
 
@@ -204,13 +206,20 @@ def unite(*lots: DataFrame) -> DataFrame:
 
 
 def write_results(
-    df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ("batch_id",)
+    df: DataFrame,
+    path: str,
+    fmt: str = "parquet",
+    partition_by: Sequence[str] = ("batch_id",),
+    target_bytes: int = TARGET_BYTES,
 ) -> None:
     """Write a result table, one folder per lot; a rerun replaces only the lots it holds.
 
-    Rows are not gathered by lot first, so that a large lot stays spread over tasks.
+    Tasks are dealt to lots by size: about ``target_bytes`` of unpacked rows make a task, so
+    a large lot is spread over many and small lots share one. There are at most as many
+    files as tasks and lots together.
     """
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows = settled(df)
+    writer = _dealt(rows, partition_by, target_bytes).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
         writer = writer.options(
             header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
@@ -218,6 +227,27 @@ def write_results(
     writer.partitionBy(*partition_by).format(fmt).save(path)
 
 
+def _dealt(rows: DataFrame, by: Sequence[str], target_bytes: int) -> DataFrame:
+    """Settled rows in partitions of about the target's size, each with few lots."""
+    lot = F.to_json(F.struct(*by))
+    width = sum(
+        [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) if isinstance(f.dataType, T.StringType) else F.lit(8)
+         for f in rows.schema.fields],
+        F.lit(0),
+    )
+    sizes = settled(rows.groupBy(lot.alias("_lot")).agg(F.sum(width.cast("bigint")).alias("_bytes")))
+    # All bytes of the table in one line, lot after lot: one row per lot meets here.
+    upto = F.sum("_bytes").over(Window.orderBy("_lot").rowsBetween(Window.unboundedPreceding, 0))
+    placed = settled(sizes.withColumn("_start", upto - F.col("_bytes")))
+    total = placed.agg(F.coalesce(F.sum("_bytes"), F.lit(0))).first()[0]
+    # A row's place in its lot is drawn by its place in the table: equal rows are spread too.
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 32)) / float(1 << 32)
+    marked = rows.withColumns({"_lot": lot, "_part": part})
+    task = F.floor((F.col("_start") + F.col("_part") * F.col("_bytes")) / target_bytes).cast("int")
+    named = narrow_join(marked, placed, ["_lot"]).withColumn("_task", task)
+    return named.repartitionById(max(1, -(-total // target_bytes)), "_task").select(*rows.columns)
+
+
 def observed(df: DataFrame, name: str):
     """Count the rows that pass this point while some later action runs."""
     observation = Observation(name)
