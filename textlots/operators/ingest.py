@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlots.functions.bind import bind
-from textlots.functions.text import clean, junk_reason
+from textlots.functions.bind import bind, words
+from textlots.functions.text import clean, junk_reason, normalize
 from textlots.operators.joins import narrow_join, settled
 
 # Header words that point to the text column.
@@ -114,6 +114,43 @@ def detect_text_column(
     )
 
 
+def header_points(name: Column) -> Column:
+    """100 for every header word inside the accent-free, lower-case header; 0 for none."""
+    known = words(HEADER_WORDS)
+    found = bind(normalize(name), lambda plain: F.size(F.filter(known, lambda word: F.contains(plain, word))))
+    return F.coalesce(100.0 * found, F.lit(0.0))
+
+
+def usable_length(cell: Column) -> Column:
+    """Characters of the cleaned cell; null if it is no usable text."""
+    return bind(clean(cell), lambda cleaned: F.when(usable(cleaned), F.length(cleaned)))
+
+
+def detect_by_place(cells: DataFrame, by: Sequence[str] = ("source",)) -> DataFrame:
+    """``detect_text_column`` over cells in long form: ``at`` (place), ``name`` (header), ``cell``.
+
+    The header is data, so files with any number of different headers take one aggregate.
+    """
+    sizes = cells.select(*by, "at", "name", usable_length(F.col("cell")).alias("_chars"))
+    sums = sizes.groupBy(*by, "at", "name").agg(F.sum("_chars").alias("_sum"), F.count("_chars").alias("_n"))
+    scored = sums.withColumn("score", header_points(F.col("name")) + F.col("_sum").cast("double") / F.col("_n"))
+    rated = F.struct("score", (-F.col("at")).alias("order"), "name", F.col("_n").alias("n"))
+    best = F.max(F.when(F.col("_n") > 0, rated))
+    return scored.groupBy(*by).agg(best.alias("_best")).select(
+        *by,
+        F.col("_best.name").alias("column_detected"),
+        F.col("_best.score").alias("score"),
+        F.coalesce("_best.n", F.lit(0)).cast("bigint").alias("n_texts"),
+    )
+
+
+def pick_by_place(cells: DataFrame, detected: DataFrame, by: Sequence[str] = ("source",)) -> DataFrame:
+    """Usable texts of each source's detected column, from cells in long form."""
+    best = settled(detected.select(*by, F.col("column_detected").alias("name")).where(F.col("name").isNotNull()))
+    rows = narrow_join(cells, best, [*by, "name"])
+    return drop_junk(rows.select(*by, F.col("cell").alias("text")))
+
+
 def pick_text(
     df: DataFrame, detected: DataFrame, by: Sequence[str] = ("source",), keep: Sequence[str] = ()
 ) -> DataFrame:

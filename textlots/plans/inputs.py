@@ -240,19 +240,27 @@ def wide_files(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     ]
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All string cells of those tables, one per row."""
+def wide_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells of those tables in long form: source, place, header, cell."""
     parts = [
-        file.select("source", F.explode(F.array(*[F.col(c) for c in file.columns if c != "source"])).alias("cell"))
-        for file in wide_files(spark, sf_dir)
+        file.select(
+            "source", F.posexplode(F.array(*[F.col(h) for h in columns.values()])).alias("at", "cell"),
+            F.array(*[F.lit(h) for h in columns.values()]).alias("names"),
+        )
+        for file, (_, columns) in zip(wide_files(spark, sf_dir), WIDE)
     ]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionAll(part)
+    return result.select("source", "at", F.get("names", F.col("at")).alias("name"), "cell")
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All string cells of those tables, one per row."""
     numbers = table(spark, sf_dir, "orders").select(
         F.lit("orders").alias("source"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("cell")
     )
-    result = numbers
-    for part in parts:
-        result = result.unionByName(part)
-    return result
+    return numbers.unionByName(wide_cells(spark, sf_dir).select("source", "cell"))
 
 
 def scenarios(totals: DataFrame) -> DataFrame:

@@ -70,16 +70,13 @@ def clean_cell(spark: SparkSession, d: str) -> DataFrame:
 
 
 def detect_text_column(spark: SparkSession, d: str) -> DataFrame:
-    found = [ingest.detect_text_column(file) for file in inputs.wide_files(spark, d)]
-    return files.unite(*found)
+    return ingest.detect_by_place(inputs.wide_cells(spark, d))
 
 
 def union_lots(spark: SparkSession, d: str) -> DataFrame:
     """Usable texts per file after a union of files with different columns."""
-    texts = []
-    for file in inputs.wide_files(spark, d):
-        texts.append(ingest.pick_text(file, ingest.detect_text_column(file)))
-    return files.unite(*texts).groupBy("source").agg(
+    cells = inputs.wide_cells(spark, d)
+    return ingest.pick_by_place(cells, ingest.detect_by_place(cells)).groupBy("source").agg(
         F.count("*").alias("n_texts"), F.sum(F.length("text")).alias("n_chars")
     )
 

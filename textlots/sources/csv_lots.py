@@ -25,9 +25,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textlots.functions.bind import bind, words
-from textlots.functions.text import clean, normalize
-from textlots.operators.ingest import HEADER_WORDS, drop_junk, usable
+from textlots.operators.ingest import drop_junk, header_points, usable_length
 from textlots.operators.joins import narrow_join, settled
 
 # What a read that fails on a task raises: from a query, and from a checkpoint.
@@ -222,13 +220,6 @@ def _message(error: Exception) -> str:
     return lines[-1].removeprefix("Caused by: ")[:300]
 
 
-def header_points(name: Column) -> Column:
-    """100 for every header word inside the accent-free, lower-case header; 0 for none."""
-    known = words(HEADER_WORDS)
-    found = bind(normalize(name), lambda plain: F.size(F.filter(known, lambda word: F.contains(plain, word))))
-    return F.coalesce(100.0 * found, F.lit(0.0))
-
-
 def detect_places(rows: DataFrame, header: str | bool = "auto") -> DataFrame:
     """Per file: place and name of the text column, score, texts, and the row from which texts are taken.
 
@@ -240,8 +231,7 @@ def detect_places(rows: DataFrame, header: str | bool = "auto") -> DataFrame:
     cells = narrow_join(rows, first.select("path", "first_row"), ["path"]).select(
         "path", (F.col("row_no") == F.col("first_row")).alias("on_top"), F.posexplode("cells").alias("at", "cell")
     )
-    length = bind(clean(F.col("cell")), lambda cell: F.when(usable(cell), F.length(cell)))
-    sizes = cells.select("path", "at", "on_top", length.alias("chars"))
+    sizes = cells.select("path", "at", "on_top", usable_length(F.col("cell")).alias("chars"))
     sums = sizes.groupBy("path", "at").agg(
         F.count(F.when(~F.col("on_top"), F.col("chars"))).alias("below_n"),
         F.sum(F.when(~F.col("on_top"), F.col("chars"))).alias("below_sum"),
