@@ -5,7 +5,9 @@ document; a hit is verified by a digest of its words. Column expressions only.
 
 Defined results: a null or empty text has no words and no hits; a null item id still hits
 words but is not listed; repeated benchmark rows count once; repeated documents each keep
-their row; an empty benchmark hits nothing.
+their row; an empty benchmark hits nothing; texts of any length are
+scanned whole; extra columns of any name are left behind, or pass through
+``without_documents``; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ counted.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, and so is
 everything if nothing was learned; of equal languages the first by code point wins; a null
-id is hashed like an empty one; repeated rows count as often as they occur.
+id is hashed like an empty one; repeated rows count as often as they occur; texts
+of any length are read whole; other columns of the input, whatever their names, are left
+behind; an empty table gives no rows.
 """
 
 from __future__ import annotations

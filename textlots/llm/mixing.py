@@ -15,7 +15,9 @@ last two documents are settled so that the words taken come nearest the target.
 Random numbers come from hashes of the rows and blocks, so reruns agree.
 
 Defined results: null and empty texts have no words; a null source is a source, the last
-one; documents that repeat another row are decided one by one; an empty table gives no rows.
+one; documents that repeat another row are decided one by one; an empty table gives no rows;
+texts of any length are counted whole; extra columns of any name are left behind, or pass
+through ``mixed``.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ nearly the same number of bytes. Column expressions only; the slot table has ``S
 whatever the corpus, so sorting it in one task and broadcasting it are bounded.
 
 Defined results: a null text counts 1 byte, a null id is hashed like any value; rows equal
-in id and text share a slot; an empty table still has a full slot map. Columns named
+in id and text share a slot; an empty table gives no rows and a full slot map; texts of any
+length are measured whole. Columns named
 ``shard`` and ``virtual_slot`` are replaced.
 """
 

@@ -14,7 +14,10 @@ as group keys; members of one group are at most two bits apart and two fingerpri
 close share a group, so linking each group to its smallest member loses no link.
 
 Defined results: null and empty texts have the all-zero fingerprint and are linked like
-any other; a null id never names a component unless all ids of the component are null.
+any other; a null id never names a component unless all ids of the component are null;
+texts of any length are read whole; rows equal in id and text keep a row each; an empty
+table gives an empty result; other columns of the input, whatever their names, are left
+behind, or pass through ``representatives``.
 """
 
 from __future__ import annotations

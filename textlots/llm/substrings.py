@@ -17,7 +17,8 @@ Two things keep the traffic down and the buckets small, at every size:
 
 Defined results: null and empty texts have no words; null ids come after all others; windows
 of rows with equal ids and starts are at the same place, so neither is earlier; an empty
-table gives no rows.
+table gives no rows; texts of any length are read whole, in super-k-mers; other columns of
+the input, whatever their names, are left behind.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ every task holds (at most ``COMMON`` parts of at most 64 characters), all others
 shuffled join. No switch: both ways run at every size.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated documents each keep
-their row.
+their row; texts of any length are counted whole; other columns of the input, whatever their
+names, are left behind; an empty table gives no rows.
 """
 
 from __future__ import annotations
