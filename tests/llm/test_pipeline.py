@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import corpus_pipeline
 import pytest
@@ -87,6 +88,16 @@ def test_mix_and_shards(steps):
     assert all(len(found) == 1 for found in slots.values())
 
 
+def test_run_leaves_its_last_stage_alone(spark, small, steps):
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    names = [name.replace(" ", "-") for name, _ in corpus_pipeline.STAGES]
+    before = {name: set(root.glob(f"{name}-*")) for name in names}
+    rows = corpus_pipeline.run(spark, small)
+    assert Counter(r.doc_id for r in rows.collect()) == Counter(r.doc_id for r in steps[1][-1])
+    left = {name: set(root.glob(f"{name}-*")) - before[name] for name in names}
+    assert {name: len(found) for name, found in left.items()} == {name: int(name == names[-1]) for name in names}
+
+
 def test_stages_take_edge_cases(spark, small, edges, no_docs):
     plain = edges.select("doc_id", "text", "lang", "source", "words", "text_hash")
     for docs in (plain, no_docs):

@@ -79,11 +79,20 @@ def per_copy(rows: DataFrame, copies: str) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows, written below the shared folder and read back: computed once, columnar on disk."""
-    path = work_dir(df.sparkSession, name)
+    return stored_at(df, work_dir(df.sparkSession, name))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Remove a folder of ``stored_at`` that nothing reads any more, wherever it is kept."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most about ``max_bytes`` of text each; a longer text comes alone."""
     lengths = batch.column(column).cast(pa.large_binary())
