@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textlots.llm import decontaminate, mixing, quality, sharding, simhash
-from textlots.llm.common import documents, settled, stored, table
+from textlots.llm.common import deleted, documents, settled, stored_at, table
 from textlots.session import work_dir
 
 
@@ -60,7 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """All stages in turn; a stage's rows are deleted once the next one's are written."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = work_dir(spark, name.replace(" ", "-"))
+        docs = stored_at(stage(spark, docs, sf_dir), path)
+        if before:
+            deleted(spark, before)
+        before = path
     return docs
