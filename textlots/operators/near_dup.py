@@ -137,7 +137,7 @@ def _cells(
 
     schema = ", ".join([*_schema(rows, rows.columns), "_home int", "_cells array<int>"])
     placed = sliced.groupBy(*by, "_slice").cogroup(copies.groupBy(*by, "_slice")).applyInPandas(place, schema)
-    return small.unionByName(placed)
+    return settled(small.unionByName(placed))
 
 
 def _earlier(members: pd.DataFrame, others: pd.DataFrame, vec: str, threshold: float, first: int) -> list[list[dict]]:
@@ -279,7 +279,7 @@ def _owners(
         rows.groupBy(*by).agg(F.count("*").alias("_rows"))
         .withColumn("_pivots", F.least(F.lit(MAX_PIVOTS), F.ceil(F.col("_rows") / cell_rows)).cast("int"))
     )
-    open_rows = candidates = settled(_cells(rows, sizes, vec, by, threshold, cell_rows))
+    open_rows = candidates = _cells(rows, sizes, vec, by, threshold, cell_rows)
     known = None
     while True:
         lists = _listed(open_rows, candidates, vec, by, threshold, first, cell_rows)
