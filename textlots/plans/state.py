@@ -31,13 +31,12 @@ def _versions(spark: SparkSession, path: str) -> list:
 
     try:
         log = spark.read.schema(LOG).json(f"{path}/log/*")
-        rows = log.collect()
+        newest = log.agg(F.max("version")).first()[0]
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return []
-    newest = max((row.version for row in rows), default=0)
-    return sorted(row for row in rows if row.version == newest)
+    return sorted(log.where(F.col("version") == newest).collect())
 
 
 def _commit(spark: SparkSession, path: str, version: int, parts: Sequence[str], columns: str) -> None:
