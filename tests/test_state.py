@@ -67,6 +67,7 @@ def test_only_committed_parts_are_read(spark):
 
 
 def test_totals_from_a_state_read_no_text(spark, small):
+    registry.QUERIES["type_distribution"](spark, small)
     for name in ("lot_core", "type_distribution", "strategy_compare", "model_compare", "recalculate"):
         plan = registry.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
         assert "documents.parquet" not in plan and "text:string" not in plan

@@ -38,9 +38,7 @@ def _canon(spark: SparkSession, d: str, pack: Pack = REVIEWS, optimize: bool = T
 
     Measured again as soon as the files of the table, or their bytes, are others.
     """
-    given = spark.read.parquet(f"{d}/documents.parquet")
-    size = str(given._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    seen = (spark.sparkContext.applicationId, tuple(sorted(given.inputFiles())), size, pack.domain, optimize)
+    seen = _seen(spark, d, pack, optimize)
     if seen not in _STATES:
         path = work_dir(spark, "lot-state")
         state.add(lots.analyze(_texts(spark, d), pack, optimize), path)
@@ -48,6 +46,12 @@ def _canon(spark: SparkSession, d: str, pack: Pack = REVIEWS, optimize: bool = T
     return state.load(spark, _STATES[seen])
 
 
+def _seen(spark: SparkSession, d: str, pack: Pack, optimize: bool) -> tuple:
+    given = spark.read.parquet(f"{d}/documents.parquet")
+    size = str(given._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return spark.sparkContext.applicationId, tuple(sorted(given.inputFiles())), size, pack.domain, optimize
+
+
 def _near(spark: SparkSession, d: str) -> DataFrame:
     """The lots' canonical rows after near duplicates of them are counted as copies."""
     near = lots.near_map(_texts(spark, d), inputs.text_vectors(spark, d))
@@ -55,7 +59,9 @@ def _near(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _totals(spark: SparkSession, d: str) -> DataFrame:
-    return costs.lot_totals(_canon(spark, d))
+    """From the stored state where there is one; else only what totals need is measured, without any rule."""
+    stored = _seen(spark, d, REVIEWS, True) in _STATES
+    return costs.lot_totals(_canon(spark, d) if stored else lots.analyze(_texts(spark, d), REVIEWS))
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -417,7 +423,7 @@ def lot_added(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lot_core_off(spark: SparkSession, d: str) -> DataFrame:
-    canon = _canon(spark, d, optimize=False)
+    canon = lots.analyze(_texts(spark, d), REVIEWS, optimize=False)
     return costs.lot_core(costs.lot_totals(canon, optimize=False))
 
 
