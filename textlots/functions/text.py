@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textlots.functions.bind import bind
+from textlots.functions.folding import fold
+
 # What counts as white space: every character str.isspace() accepts. With (?U), \s is
 # Unicode's white space; the four separator controls are missing from it.
 UNICODE = "(?U)"
@@ -19,15 +22,6 @@ STOPWORDS = (
 
 MIN_CHARS = 10
 
-# Latin letters with a mark, by base letter, so that one translate() removes the marks.
-_MARKED = {
-    "a": "àáâãäåāăą", "c": "çćĉċč", "d": "ď", "e": "èéêëēĕėęě", "g": "ĝğġģ", "h": "ĥ",
-    "i": "ìíîïĩīĭį", "j": "ĵ", "k": "ķ", "l": "ĺļľ", "n": "ñńņň", "o": "òóôõöōŏő",
-    "r": "ŕŗř", "s": "śŝşš", "t": "ţť", "u": "ùúûüũūŭůűų", "w": "ŵ", "y": "ýÿŷ", "z": "źżž",
-}
-MARKED = "".join(_MARKED.values())
-UNMARKED = "".join(base * len(chars) for base, chars in _MARKED.items())
-
 # A number of word-like pieces: an estimate of its tokens.
 PIECE = r"\p{L}+|\p{N}{1,3}|[^\s\p{L}\p{N}]+"
 
@@ -48,12 +42,8 @@ def clean(c: Column) -> Column:
 
 
 def normalize(c: Column) -> Column:
-    """Lower case, no accents, stripped ends: for headers and lookups.
-
-    Covers the Latin letters and loose combining marks.
-    """
-    plain = F.translate(F.lower(c), MARKED, UNMARKED)
-    return strip(F.regexp_replace(plain, r"\p{M}+", ""))
+    """Lower case, decomposed, without marks, stripped ends: for headers and lookups."""
+    return bind(F.lower(fold(c)), strip)
 
 
 def dedup_key(c: Column) -> Column:

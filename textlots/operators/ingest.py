@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlots.functions.bind import bind, words
+from textlots.functions.folding import plain
 from textlots.functions.text import clean, junk_reason, normalize
 from textlots.operators.joins import narrow_join, settled
 
@@ -53,9 +53,8 @@ def drop_junk(df: DataFrame, text: str = "text") -> DataFrame:
 
 def header_score(name: str) -> int:
     """100 for every header word inside the accent-free, lower-case header."""
-    letters = unicodedata.normalize("NFKD", name)
-    plain = "".join(ch for ch in letters if not unicodedata.combining(ch)).lower().strip()
-    return 100 * sum(word in plain for word in HEADER_WORDS)
+    folded = plain(name).lower().strip()
+    return 100 * sum(word in folded for word in HEADER_WORDS)
 
 
 def text_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
@@ -117,7 +116,7 @@ def detect_text_column(
 def header_points(name: Column) -> Column:
     """100 for every header word inside the accent-free, lower-case header; 0 for none."""
     known = words(HEADER_WORDS)
-    found = bind(normalize(name), lambda plain: F.size(F.filter(known, lambda word: F.contains(plain, word))))
+    found = bind(normalize(name), lambda folded: F.size(F.filter(known, lambda word: F.contains(folded, word))))
     return F.coalesce(100.0 * found, F.lit(0.0))
 
 

@@ -7,7 +7,7 @@ in SQL terms of their own.
 from __future__ import annotations
 
 from textlots.functions.rewrite import LETTERS, by_length
-from textlots.functions.text import MARKED, STOPWORDS, UNMARKED
+from textlots.functions.text import STOPWORDS
 from textlots.operators import costs
 from textlots.operators.ingest import HEADER_WORDS
 from textlots.packs import CONTRACTS, INCIDENTS, PACKS, REVIEWS, Pack
@@ -633,7 +633,7 @@ named AS (
 SELECT report_id, given AS modulo_probable, playbook, len({STEPS})::INT AS n_pasos,
   array_to_string({STEPS}, '|') AS pasos FROM played""",
         "normalize_text": f"""SELECT doc_id,
-  {strip(f"translate(lower(text), {q(MARKED)}, {q(UNMARKED)})")} AS text_norm FROM documents""",
+  {strip("lower(strip_accents(text))")} AS text_norm FROM documents""",
         "token_count": f"SELECT doc_id, {count_pieces('text')} AS tokens FROM documents",
         "dict_rewrite": _row_ids(f"{rewritten('text')} AS text_optimized"),
         "compress_text": rf"""SELECT doc_id, CASE WHEN length(t) <= 280 THEN t
