@@ -375,3 +375,21 @@ def test_observed_counts(spark):
     df, observation = files.observed(spark.range(7), "seen")
     df.collect()
     assert observation.get == {"n_rows": 7}
+
+
+def test_stage_counts_of_a_single_pass(spark):
+    good = "La app se cierra sola al abrir la foto"
+    rows = [("a", "f", i, text) for i, text in enumerate([good, good.upper(), "ab", None, "Texto neutro, nada más aquí", ""])]
+    rows += [("junk", "f", 0, "12/05/2023"), ("junk", "g", None, None)]
+    raw = spark.createDataFrame(rows, "batch_id string, source string, row_no bigint, text string")
+
+    def counts(df):
+        return {(r.batch_id, r.stage): r.n_rows for r in costs.stage_counts(lots.stages(df, REVIEWS)).collect()}
+
+    assert counts(raw) == {
+        ("a", "read"): 6, ("a", "usable"): 3, ("a", "distinct"): 2, ("a", "matched"): 2,
+        ("junk", "read"): 2, ("junk", "usable"): 0, ("junk", "distinct"): 0, ("junk", "matched"): 0,
+    }
+    assert counts(raw.limit(0)) == {}
+    repeated = raw.crossJoin(spark.range(50).select(F.lit("x").alias("source_file")))  # clashing extra columns
+    assert counts(repeated)["a", "read"] == 300 and counts(repeated)["a", "distinct"] == 2

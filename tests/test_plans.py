@@ -54,3 +54,8 @@ def test_classification_does_not_shuffle(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     plan = plan_of(classify(docs.select("doc_id", "text"), REVIEWS).select("doc_id", "classification"))
     assert "Exchange" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_stage_counts_scan_once(spark, small):
+    plan = plan_of(queries()["stage_counts"](spark, small))
+    assert plan.count("FileScan") == 1 and "Join" not in plan

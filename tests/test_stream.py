@@ -64,3 +64,43 @@ def test_epochs_replace_themselves_and_are_compacted(spark, tmp_path):
     epochs.compact(spark, path)
     assert numbers(epochs.read_epochs(spark, path)) == [*now, 30]
     assert epochs.read_epochs(spark, path).inputFiles() != [] and epochs._newest(epochs._log(spark, path))[0] == 4
+
+
+def counted(spark, path):
+    return sorted(map(tuple, epochs.epoch_counts(spark, path).collect()))
+
+
+def test_epochs_count_their_rows(spark, tmp_path):
+    path = str(tmp_path / "table")
+    epochs.write_epoch(spark.range(7), path, 0)
+    epochs.write_epoch(spark.range(0), path, 1)
+    # Known to be empty only after a shuffle.
+    epochs.write_epoch(spark.range(9).where("id > 20").groupBy("id").count().select("id"), path, 2)
+    epochs.write_epoch(spark.range(5), path, 0)
+    assert counted(spark, path) == [(0, 5), (1, 0), (2, 0)]
+    epochs.compact(spark, path)
+    epochs.write_epoch(spark.range(90), path, 1)  # closed: already there
+    epochs.write_epoch(spark.range(3), path, 3)
+    assert counted(spark, path) == [(0, 5), (1, 0), (2, 0), (3, 3)]
+
+
+def test_listener_receives_the_rows_of_each_stage(spark, small, tmp_path):
+    import time
+
+    from textlots.streaming.metrics import EpochCounts
+
+    listener = EpochCounts(keep=2)
+    spark.streams.addListener(listener)
+    try:
+        source = inputs.report_source(spark, small)
+        stream.start_triage(source, str(tmp_path / "t"), str(tmp_path / "c"), available_now=True).awaitTermination()
+        until = time.time() + 30
+        while not listener.counts and time.time() < until:
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    batch = reports.submit(inputs.reports(spark, small))
+    kept = batch.count()
+    (found,) = listener.counts.values()
+    assert found["reports_read"]["n_rows"] == inputs.reports(spark, small).count() > kept
+    assert found["reports_kept"] == {"n_rows": kept, "n_critical": batch.where("severidad = 'critica'").count()}

@@ -54,12 +54,25 @@ def _tables() -> tuple[str, str, dict[str, str]]:
     return "".join([*one, *none]), "".join(one.values()), many
 
 
-def _ranges(chars: str) -> str:
-    """The inside of a character class."""
+def _ranges(codes: list[int], gap: int = 0) -> list[tuple[int, int]]:
+    """First and last code of the runs whose members are at most ``gap`` further than neighbours."""
+    starts = [c for i, c in enumerate(codes) if not i or c - codes[i - 1] > gap + 1]
+    ends = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] - c > gap + 1]
+    return list(zip(starts, ends))
+
+
+def _class(chars: str) -> str:
+    """The inside of a character class. A character outside all regions takes one test per region."""
+
+    def span(first: int, last: int) -> str:
+        return f"\\x{{{first:x}}}-\\x{{{last:x}}}"
+
     codes = sorted(map(ord, chars))
-    starts = [c for i, c in enumerate(codes) if not i or codes[i - 1] != c - 1]
-    ends = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
-    return "".join(f"\\x{{{first:x}}}-\\x{{{last:x}}}" for first, last in zip(starts, ends))
+    regions = []
+    for low, high in _ranges(codes, gap=255):
+        inside = "".join(span(*run) for run in _ranges([c for c in codes if low <= c <= high]))
+        regions.append(f"[{span(low, high)}&&[{inside}]]")
+    return "".join(regions)
 
 
 def _letters(syllable: Column) -> Column:
@@ -79,17 +92,19 @@ def _letters(syllable: Column) -> Column:
 def fold(c: Column) -> Column:
     """Compatibility decomposition of a text, without marks; null stays null."""
     singles, become, many = _tables()
-    syllable = f"\\x{{{SYLLABLES:x}}}-\\x{{{LAST_SYLLABLE:x}}}"
-    special = _ranges("".join(many)) + syllable
+    syllable = f"[\\x{{{SYLLABLES:x}}}-\\x{{{LAST_SYLLABLE:x}}}]"
+    # Most letters are told apart by their first test.
+    special = f"[\\x{{80}}-\\x{{10ffff}}&&[{syllable}{_class(''.join(many))}]]"
+    other = f"[\\x00-\\x7f[^{syllable}{_class(''.join(many))}]]"
     keys, values = F.lit("".join(many)), words(many.values())
 
     def expanded(piece: Column) -> Column:
         # A piece is one special character, or a run without any: that is in no key.
         found = F.get(values, F.instr(keys, piece) - 1)
-        return F.when(piece.rlike(f"^[{syllable}]"), _letters(piece)).otherwise(F.coalesce(found, piece))
+        return F.when(piece.rlike(f"^{syllable}"), _letters(piece)).otherwise(F.coalesce(found, piece))
 
     def whole(text: Column) -> Column:
-        pieces = F.regexp_extract_all(text, F.lit(f"[{special}]|[^{special}]+"), F.lit(0))
-        return F.when(text.rlike(f"[{special}]"), F.array_join(F.transform(pieces, expanded), "")).otherwise(text)
+        pieces = F.regexp_extract_all(text, F.lit(f"{special}|{other}+"), F.lit(0))
+        return F.when(text.rlike(special), F.array_join(F.transform(pieces, expanded), "")).otherwise(text)
 
     return bind(F.translate(c, singles, become), whole)

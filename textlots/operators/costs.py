@@ -385,14 +385,17 @@ def _strategy(name: str, method: str, original: Column, tokens: Column, **more:
     )
 
 
-def stage_counts(raw: DataFrame, canon: DataFrame, by: Sequence[str] = BATCH) -> DataFrame:
-    """Rows per lot after each stage: read, usable, distinct, matched by a rule."""
-    read = raw.groupBy(*by).agg(F.count("*").alias("read"))
-    rest = canon.groupBy(*by).agg(
-        F.sum("n_rows").alias("usable"),
-        F.count("*").alias("distinct"),
-        F.sum(F.when(F.col("rule").isNotNull(), F.col("n_rows")).otherwise(0)).alias("matched"),
+def stage_counts(canon: DataFrame, by: Sequence[str] = BATCH) -> DataFrame:
+    """Rows per lot after each stage: read, usable, distinct, matched by a rule.
+
+    ``canon`` comes from ``lots.stages``: its row with an empty key stands for cells that are
+    no usable text, so one scan and one shuffle give all counts.
+    """
+    n, used = F.col("n_rows"), F.col("key") != F.lit(b"")
+    counted = canon.groupBy(*by).agg(
+        F.sum(n).alias("read"),
+        F.coalesce(F.sum(F.when(used, n)), F.lit(0)).alias("usable"),
+        F.count_if(used).alias("distinct"),
+        F.coalesce(F.sum(F.when(used & F.col("rule").isNotNull(), n)), F.lit(0)).alias("matched"),
     )
-    stages = ("read", "usable", "distinct", "matched")
-    joined = read.join(rest, list(by), "left").fillna(0)
-    return joined.unpivot(list(by), list(stages), "stage", "n_rows")
+    return counted.unpivot(list(by), ["read", "usable", "distinct", "matched"], "stage", "n_rows")

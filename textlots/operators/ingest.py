@@ -51,6 +51,11 @@ def drop_junk(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(*kept, F.explode(good).alias(text)).select(*df.columns)
 
 
+def mark_junk(df: DataFrame, text: str = "text") -> DataFrame:
+    """Every row, with its cleaned text, or null where that is no usable one."""
+    return df.withColumn(text, F.get(F.filter(F.array(clean(F.col(text))), usable), 0))
+
+
 def header_score(name: str) -> int:
     """100 for every header word inside the accent-free, lower-case header."""
     folded = plain(name).lower().strip()

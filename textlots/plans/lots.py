@@ -21,7 +21,7 @@ from textlots.functions.numbers import share_pct
 from textlots.functions.rewrite import dict_rewrite
 from textlots.operators.classify import classification, hint_keys, with_hints, with_rule
 from textlots.operators.dedup import BATCH, ORDER, canonical, with_canonical, with_key
-from textlots.operators.ingest import drop_junk
+from textlots.operators.ingest import drop_junk, mark_junk
 from textlots.operators.joins import narrow_join, settled
 from textlots.operators.near_dup import vector_dedup
 from textlots.operators.rewrite import rewrite_with
@@ -65,6 +65,12 @@ def measure(
     return with_hints(with_rule(rewritten, pack), pack)
 
 
+def stages(raw: DataFrame, pack: Pack) -> DataFrame:
+    """Distinct texts of raw cells with their rule and copies; unusable cells of a lot are one row with an empty key."""
+    rows = with_key(mark_junk(raw.select(*BATCH, *ORDER, "text")))
+    return canonical(with_rule(rows, pack), ["rule"])
+
+
 def measures(pack: Pack) -> list[str]:
     return ["tokens_original", "tokens_optimized", "optimize_method", "rule", *hint_keys(pack)]
 

@@ -757,6 +757,11 @@ SELECT 'tracker' AS route, report_id FROM triaged
 UNION ALL SELECT 'alerts', report_id FROM triaged WHERE severidad = 'critica'
 UNION ALL SELECT 'outbox', report_id FROM triaged WHERE contains(email, '@')
 UNION ALL SELECT 'rejected', report_id FROM checked WHERE reject_reason IS NOT NULL""",
+        "route_counts": f"""WITH {TRIAGED}
+SELECT 'tracker' AS route, count(*) AS n_rows FROM triaged
+UNION ALL SELECT 'alerts', count(*) FROM triaged WHERE severidad = 'critica'
+UNION ALL SELECT 'outbox', count(*) FROM triaged WHERE contains(email, '@')
+UNION ALL SELECT 'rejected', count(*) FROM checked WHERE reject_reason IS NOT NULL""",
         "rejected_reports": f"""WITH {VALID}
 SELECT report_id, mensaje, reject_reason FROM checked WHERE reject_reason IS NOT NULL""",
         "junk_rows": f"""SELECT conv_id, turn, c AS text, {junk("c")} AS junk_reason

@@ -479,7 +479,7 @@ def recalculate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stage_counts(spark: SparkSession, d: str) -> DataFrame:
-    return costs.stage_counts(inputs.feedback(spark, d), _canon(spark, d))
+    return costs.stage_counts(lots.stages(inputs.feedback(spark, d), REVIEWS))
 
 
 # H. the report channel
@@ -495,12 +495,17 @@ def report_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{out}/table")
 
 
-def report_routes(spark: SparkSession, d: str) -> DataFrame:
-    """Run the routing job to its end; then list which report reached which table."""
+def _routed(spark: SparkSession, d: str) -> dict[str, str]:
     out = work_dir(spark, "report-routes")
     tables = {name: f"{out}/{name}" for name in stream.ROUTES}
     source = inputs.report_source(spark, d)
     stream.start_routes(source, tables, f"{out}/checkpoint", available_now=True).awaitTermination()
+    return tables
+
+
+def report_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Run the routing job to its end; then list which report reached which table."""
+    tables = _routed(spark, d)
     epochs.compact(spark, tables["tracker"])
     parts = [
         epochs.read_epochs(spark, path).select(F.lit(name).alias("route"), "report_id")
@@ -509,6 +514,14 @@ def report_routes(spark: SparkSession, d: str) -> DataFrame:
     return files.unite(*parts)
 
 
+def route_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Run the routing job to its end; then the rows that its epochs counted while they were written."""
+    tables = _routed(spark, d)
+    epochs.compact(spark, tables["tracker"])
+    counts = [epochs.epoch_counts(spark, path).withColumn("route", F.lit(name)) for name, path in tables.items()]
+    return files.unite(*counts).groupBy("route").agg(F.sum("n_rows").alias("n_rows"))
+
+
 def tracker_rows(spark: SparkSession, d: str) -> DataFrame:
     return reports.tracker_rows(reports.submit(inputs.reports(spark, d)))
 
@@ -589,6 +602,7 @@ QUERIES: dict[str, Query] = {
     "stage_counts": stage_counts,
     "report_stream": report_stream,
     "report_routes": report_routes,
+    "route_counts": route_counts,
     "tracker_rows": tracker_rows,
     "alert_text": alert_text,
 }

@@ -66,8 +66,12 @@ def start_routes(
 def start_triage(
     reports: DataFrame, path: str, checkpoint: str, source: str = "web", available_now: bool = False
 ) -> StreamingQuery:
-    """Append triaged reports to a Parquet table."""
-    writer = report_stream(reports, source).writeStream.format("parquet").outputMode("append")
+    """Append triaged reports to a Parquet table. ``metrics.EpochCounts`` receives the rows at each stage."""
+    read = reports.observe("reports_read", F.count("*").alias("n_rows"))
+    kept = report_stream(read, source).observe(
+        "reports_kept", F.count("*").alias("n_rows"), F.count_if(F.col("severidad") == "critica").alias("n_critical")
+    )
+    writer = kept.writeStream.format("parquet").outputMode("append")
     writer = writer.option("checkpointLocation", checkpoint).option("path", path)
     trigger = {"availableNow": True} if available_now else {"processingTime": "10 seconds"}
     return writer.trigger(**trigger).start()
