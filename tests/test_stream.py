@@ -19,6 +19,18 @@ def test_stream_equals_batch(spark, small, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "t"))) == rows(reports.submit(inputs.reports(spark, small)))
 
 
+def test_table_of_several_files_is_streamed_whole(spark, small, tmp_path):
+    folder = tmp_path / "tables"
+    spark.read.parquet(f"{small}/conversations.parquet").repartition(3).write.parquet(f"{folder}/conversations.parquet")
+    source = inputs.report_source(spark, str(folder))
+    tables = {name: str(tmp_path / name) for name in stream.ROUTES}
+    stream.start_routes(source, tables, str(tmp_path / "c1"), available_now=True).awaitTermination()
+    stream.start_triage(source, str(tmp_path / "t"), str(tmp_path / "c2"), available_now=True).awaitTermination()
+    batch = reports.submit(inputs.reports(spark, small))
+    assert rows(epochs.read_epochs(spark, tables["tracker"])) == rows(reports.tracker_rows(batch))
+    assert rows(spark.read.parquet(str(tmp_path / "t"))) == rows(batch)
+
+
 def test_routes_hold_each_report_once_even_after_a_restart(spark, small, tmp_path):
     tables = {name: str(tmp_path / name) for name in stream.ROUTES}
     for checkpoint in ("c1", "c2"):
