@@ -41,6 +41,20 @@ def test_equals_every_keyword_in_every_text(spark, block):
     assert best[0] == ("crash", 2) and best[1] == ("all", 1) and best[5] == ("all", 1) and 2 not in best
 
 
+def test_words_and_keywords_beyond_them(spark):
+    rng = random.Random(5)
+    texts = [(i, "".join(rng.choices("ab \t\u3000\u00a0é", k=rng.randint(0, 90)))) for i in range(40)]
+    rules = [(n, f"t{n % 5}", "".join(rng.choices("ab \u3000é", k=rng.randint(0, 5)))) for n in range(60)]
+    rules += [(n, f"t{n % 5}", rng.choice(texts)[1][3:70]) for n in range(9)]
+    assert {(r.row_no, r.type): r.hits for r in matched(spark, texts, rules).collect()} == brute(texts, rules)
+
+
+def test_no_text_travels(spark):
+    df = spark.createDataFrame([("l", "s", 1, "some text")], "batch_id string, source string, row_no long, text string")
+    filed = spark.createDataFrame([("som", "some")], "group string, keyword string")
+    assert keyword_index.candidates(df, filed).columns == ["batch_id", "source", "row_no", "keyword"]
+
+
 def test_fifty_thousand_keywords(spark):
     rng = random.Random(3)
     letters = "abcdefghijklmnopqrstuvwxyz"
