@@ -207,3 +207,23 @@ def test_compact_inputs(spark):
     assert done[1].source == "webhook" and done[1].timestamp == "t"
     assert done[2].severidad == "critica" and done[2].email == "a@b.c" and done[2].source == "s"
     assert done[3].mensaje == "solo original"
+
+
+def test_a_text_is_scanned_once_for_all_keywords(spark, evaluate):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from textlots.functions import rules
+    from textlots.packs.model import Pack, Rule
+
+    rng = random.Random(4)
+    for shortest in (1, 2, 3):
+        keywords = ["".join(rng.choice("abñ ") for _ in range(rng.randint(shortest, 6))) for _ in range(24)]
+        listed = tuple(Rule(str(i), tuple(keywords[i::4]), {}) for i in range(4))
+        pack = Pack("d", "l", "d", "type", ("type",), {"type": "none"}, listed)
+        texts = ["".join(rng.choice("abñ c𝒳\n") for _ in range(rng.randint(0, 12))) for _ in range(200)] + ["", None]
+        counts = [t and [sum(k in t for k in rule.keywords) for rule in listed] for t in texts]
+        assert evaluate(lambda c: rules.scores(c, pack), texts) == [n if n and any(n) else None for n in counts]
+    plan = spark.createDataFrame([("a",)], "v string").select(rules.scores(F.col("v"), pack))
+    assert "RLIKE" not in plan._jdf.queryExecution().optimizedPlan().toString()

@@ -101,3 +101,13 @@ def test_round_even_equals_python(evaluate):
     values += [rng.randint(0, 9999) / 1e6 * 2.5 for _ in range(300)]
     for digits in (1, 2, 3, 6):
         assert evaluate(lambda c: round_even(c, digits), values, "double") == [round(v, digits) for v in values]
+
+
+def test_piece_count_makes_no_list_of_pieces(spark, evaluate):
+    from pyspark.sql import functions as F
+
+    texts = random_texts(5) + ["", " ", "\t\n", " a", "\x1c12345 ab,,c ", "12 3456", None]
+    pattern = re.compile(r"[^\W\d_]+|\d{1,3}|[^ \t\n\x0b\f\r\w]+")
+    assert evaluate(tx.piece_count, texts) == [len(pattern.findall(t or "")) for t in texts]
+    plan = spark.createDataFrame([("a",)], "v string").select(tx.piece_count(F.col("v")))
+    assert "regexp_extract_all" not in plan._jdf.queryExecution().optimizedPlan().toString()
