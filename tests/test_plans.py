@@ -59,3 +59,15 @@ def test_classification_does_not_shuffle(spark, small):
 def test_stage_counts_scan_once(spark, small):
     plan = plan_of(queries()["stage_counts"](spark, small))
     assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_a_large_file_is_dealt_to_more_tasks(spark, tmp_path, monkeypatch):
+    from textlots.plans import inputs
+
+    path = str(tmp_path / "one.parquet")
+    spark.range(100_000).coalesce(1).write.parquet(path)
+    rows = spark.read.parquet(path)
+    assert inputs.spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(inputs, "TASK_BYTES", 10_000)
+    assert inputs.spread(rows).rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+    assert inputs.spread(rows).count() == 100_000
