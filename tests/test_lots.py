@@ -1,6 +1,9 @@
 """Ingest, dedup, near duplicates, costs and row tables."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +202,67 @@ def test_near_dedup_rounds_do_not_grow_with_the_lot(spark, monkeypatch):
     assert rounds[300] == rounds[2400] == {"compared": 1, "settled": 1}
 
 
+def spread_vectors(n, dim=64):
+    return np.random.default_rng(n).normal(size=(n, dim)).astype(np.float32)
+
+
+def test_rows_without_neighbourhoods_travel_a_few_times_only(spark, monkeypatch):
+    """Random vectors are guests of every cell, so a lot must have few cells."""
+    copies = []
+    listed = near_dup._listed
+
+    def counted(rows, candidates, *args):
+        copies.append(candidates.agg(F.sum(F.size("_cells"))).first()[0])
+        return listed(rows, candidates, *args)
+
+    monkeypatch.setattr(near_dup, "_listed", counted)
+    n = 10_000
+    done = near_dup.vector_dedup(near_rows(spark, {"l": spread_vectors(n)}))
+    assert done.where("is_canonical").count() == n and copies == [n]
+
+
+@pytest.mark.parametrize("cell_rows,dealt", [(20, True), (4096, False)])
+def test_pairs_of_blocks_are_dealt_to_tasks_of_their_number(spark, cell_rows, dealt):
+    """A cell of many blocks takes as many tasks, however few partitions a shuffle has."""
+    by = ["batch_id", "_dim"]
+    rows = near_rows(spark, {"l": spread_vectors(400, 8)}).select(
+        "batch_id", F.lit(8).alias("_dim"), near_dup.vector_key(F.col("embedding")).alias("key"),
+        F.col("source").alias("canon_source"), F.col("row_no").alias("canon_row_no"), "embedding",
+        F.lit(0).alias("_home"), F.array(F.lit(0)).alias("_cells"),
+    )
+    found = near_dup._listed(rows, rows, "embedding", by, 0.92, 8, cell_rows)
+    # 20 blocks of members by 5 of candidates.
+    assert ("100), REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()) == dealt
+    assert found.count() == 400
+
+
+def test_comparison_holds_small_products_and_is_exact_at_the_threshold():
+    """Products of a block never stand whole in memory; single precision decides nothing near the threshold."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(3_000, 16))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=base.shape)
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    # Earlier rows within 1e-9 of the threshold, above and below, and one crowd of copies.
+    cos = 0.92 + np.where(np.arange(3_000) % 2, 1e-9, -1e-9)[:, None]
+    matrix = np.concatenate([cos * base + np.sqrt(1 - cos**2) * side, base, np.repeat(base[:1], 4_000, axis=0)])
+    matrix *= rng.uniform(0.5, 2, size=(len(matrix), 1))
+    place = rng.permutation(len(matrix))
+    table = pa.table({
+        "canon_source": ["v"] * len(matrix), "canon_row_no": np.arange(len(matrix)), "embedding": list(matrix),
+    }).take(place)
+    tracemalloc.start()
+    found, counts = near_dup._earlier(table, table, "embedding", 0.92, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    got = np.split(table["canon_row_no"].to_numpy()[found], np.cumsum(counts)[:-1])
+    for row, hits in zip(place, got):
+        assert list(hits) == list(np.flatnonzero(unit[:row] @ unit[row] >= 0.92)[:3])
+
+
 def totals(spark, tokens, optimized, items, price=2.5, volume=10_000, enabled=True):
     return spark.createDataFrame(
         [("l", tokens, optimized, items, enabled, price, volume)],

@@ -5,7 +5,8 @@ other; a row is a member of the cell of its nearest pivot, and a guest of every
 in which, by the triangle inequality, a member could be within the threshold of it. Crowded
 cells are split into blocks of members and blocks of candidates, so that no task compares
 more than a bounded number of rows, and none of their pairs is written out: a task answers
-each member with the first few earlier similar rows (``FIRST``).
+each member with the first few earlier similar rows (``FIRST``). It multiplies small tiles in
+single precision; products too near the threshold for that are computed again in double.
 
 These short lists decide which rows stay. A row without an entry stays; a row whose first
 entry that is not dropped stays itself is dropped for it. Lists point to earlier rows only,
@@ -16,11 +17,12 @@ again with what is left. Neither depends on the size of a lot.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +32,15 @@ from textlots.operators.joins import lookup_join, narrow_join, settled
 # Fixed value: similarity from which two texts are the same.
 THRESHOLD = 0.92
 
-# Members of one block of a cell; a task compares them with at most four times as many rows.
-CELL_ROWS = 4_096
+# Members of one block of a cell; a task compares them with at most four times as many rows. A row
+# of a lot without neighbourhoods travels once per cell, so that cells are large: 64 floats a
+# row, a block and its rows are 60 MB.
+CELL_ROWS = 32_768
 MAX_PIVOTS = 256
+# Rows that are placed in cells together.
+SLICE_ROWS = 16_384
+# Rows and columns of one product of vectors, which stays in a core's cache.
+TILE = 1_024
 # Earlier similar rows that a comparison lists for a row.
 FIRST = 8
 # Open rows of one cell that are settled together.
@@ -51,11 +59,31 @@ def vector_key(vec: Column) -> Column:
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
-    matrix = np.array(vectors.tolist(), dtype=np.float64)
+    return _scaled(np.array(vectors.tolist(), dtype=np.float64))
+
+
+def _scaled(matrix: np.ndarray) -> np.ndarray:
+    matrix = matrix.astype(np.float64)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
+def _single(matrix: np.ndarray) -> np.ndarray:
+    """Unit vectors in single precision."""
+    unit = np.empty(matrix.shape, dtype=np.float32)
+    for start in range(0, len(matrix), TILE):
+        unit[start : start + TILE] = _scaled(matrix[start : start + TILE])
+    return unit
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a table, all of one length, as given; a null component is NaN."""
+    flat = pa.concat_arrays([chunk.flatten() for chunk in vectors.chunks])
+    if not pa.types.is_floating(flat.type):
+        flat = flat.cast(pa.float64())
+    return flat.fill_null(float("nan")).to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
 def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Distances of unit (or zero) vectors."""
     squares = (left**2).sum(axis=1)[:, None] + (right**2).sum(axis=1) - 2 * (left @ right.T)
@@ -118,7 +146,7 @@ def _cells(
     if sizes.where("_pivots > 1").isEmpty():
         return small
     pivots = _pivots(rows, sizes, vec, by)
-    slices = sizes.where("_pivots > 1").select(*by, F.ceil(F.col("_rows") / (4 * cell_rows)).alias("_slices"))
+    slices = sizes.where("_pivots > 1").select(*by, F.ceil(F.col("_rows") / SLICE_ROWS).alias("_slices"))
     sliced = rows.join(slices, list(by)).withColumn("_slice", F.pmod(F.xxhash64("key"), F.col("_slices"))).drop("_slices")
     copies = pivots.join(slices, list(by)).withColumn(
         "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_slices") - 1))
@@ -140,20 +168,51 @@ def _cells(
     return settled(small.unionByName(placed))
 
 
-def _earlier(members: pd.DataFrame, others: pd.DataFrame, vec: str, threshold: float, first: int) -> list[list[dict]]:
-    """The first similar rows of an earlier place in the lot, for each member."""
-    others = others.sort_values(list(PLACE), kind="stable").reset_index(drop=True)
-    places = list(zip(*(others[name] for name in PLACE)))
-    unit, own = _unit(others[vec]), _unit(members[vec])
+def _earlier(
+    members: pa.Table, others: pa.Table, vec: str, threshold: float, first: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The first similar rows of an earlier place in the lot: positions in ``others`` member by member, and their counts."""
+    # Both tables in lot order, a member before its own row among the others.
+    places = pa.concat_tables([members.select(PLACE), others.select(PLACE)])
+    order = pc.sort_indices(places, sort_keys=[(name, "ascending") for name in PLACE]).to_numpy()
+    other = order >= len(members)
     # The lot's rows before each member: only these are looked at.
-    before = [bisect_left(places, place) for place in zip(*(members[name] for name in PLACE))]
-    found = []
-    for start in range(0, len(members), 1_024):
-        similar = own[start : start + 1_024] @ unit.T >= threshold
-        for row, hits in enumerate(similar, start):
-            at = np.flatnonzero(hits[: before[row]])[:first]
-            found.append([dict(zip(PLACE, places[n])) for n in at])
-    return found
+    before = np.empty(len(members), dtype=np.int64)
+    before[order[~other]] = np.cumsum(other)[~other]
+    order = order[other] - len(members)
+    own, given = _matrix(members[vec]), _matrix(others[vec])[order]
+    unit = _single(given)
+    # More than the rounding of single products of unit vectors.
+    slack = 2e-7 * (unit.shape[1] + 8)
+    n_found = np.zeros(len(members), dtype=np.int64)
+    found_rows, found = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    in_turn = np.argsort(before, kind="stable")
+    for start in range(0, len(in_turn), TILE):
+        rows = in_turn[start : start + TILE]
+        block, end = _single(own[rows]), before[rows[-1]]
+        for left in range(0, end, TILE):
+            near = block @ unit[left : min(left + TILE, end)].T
+            row, at = np.divmod(np.flatnonzero(near >= threshold - slack), near.shape[1])
+            doubtful = near[row, at] < threshold + slack
+            at += left
+            similar = at < before[rows[row]]
+            unsure = np.flatnonzero(similar & doubtful)
+            for some in np.split(unsure, range(TILE, len(unsure), TILE)):
+                exact = (_scaled(own[rows[row[some]]]) * _scaled(given[at[some]])).sum(axis=1)
+                similar[some] = exact >= threshold
+            row, at = row[similar], at[similar]
+            if not len(row):
+                continue
+            listed = np.arange(len(row)) - np.searchsorted(row, row) + n_found[rows[row]] < first
+            found_rows.append(rows[row[listed]])
+            found.append(at[listed])
+            n_found += np.bincount(found_rows[-1], minlength=len(members))
+            wanting = n_found[rows] < first
+            rows, block = rows[wanting], block[wanting]
+            if not len(rows):
+                break
+    by_row = np.argsort(np.concatenate(found_rows), kind="stable")
+    return order[np.concatenate(found)[by_row]], n_found
 
 
 def _listed(
@@ -178,18 +237,23 @@ def _listed(
             each, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(each) - 1))
         )
 
-    def compare(some: pd.DataFrame, against: pd.DataFrame) -> pd.DataFrame:
-        some = some.reset_index(drop=True)
-        found = _earlier(some, against, vec, threshold, first) if len(some) and len(against) else [[]] * len(some)
-        return some[[*by, "key"]].assign(similar=found)
+    def compare(some: pa.Table, against: pa.Table) -> pa.Table:
+        found, counts = np.empty(0, dtype=np.int64), np.zeros(len(some), dtype=np.int64)
+        if len(some) and len(against):
+            found, counts = _earlier(some, against, vec, threshold, first)
+        entries = pa.StructArray.from_arrays([against[name].combine_chunks().take(found) for name in PLACE], PLACE)
+        ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+        return some.select([*by, "key"]).append_column("similar", pa.ListArray.from_arrays(ends, entries))
 
     entry = ", ".join(name.replace("` ", "`: ") for name in _schema(rows, PLACE))
     schema = ", ".join([*_schema(rows, [*by, "key"]), f"similar array<struct<{entry}>>"])
     pair = [*cell, "_m", "_c"]
-    found = (
-        dealt(at_home, "_m", "_c").groupBy(*pair).cogroup(dealt(present, "_c", "_m").groupBy(*pair))
-        .applyInPandas(compare, schema)
-    )
+    sides = [dealt(at_home, "_m", "_c"), dealt(present, "_c", "_m")]
+    # Crowded cells are work for a task by each pair of blocks, however few partitions a shuffle has.
+    n = blocks.where("_m * _c > 1").agg(F.sum(F.col("_m") * F.col("_c"))).first()[0] or 0
+    if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        sides = [side.repartition(n, *pair) for side in sides]
+    found = sides[0].groupBy(*pair).cogroup(sides[1].groupBy(*pair)).applyInArrow(compare, schema)
     lists = F.array_sort(F.flatten(F.collect_list("similar")))
     return found.groupBy(*by, "key").agg(F.slice(lists, 1, first).alias("similar"))
 
